@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, ca
 
 
 def _place(capacity: int, round_no: int):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "length")])
         lengths = t.column("length").to_numpy()
         seq, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))

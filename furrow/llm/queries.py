@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, tokenfile
+from . import ann, decontam, packing, simhash, tokenfile
 
-QUERIES = {f.__name__: f for f in (packing.op2_best_fit_packing, tokenfile.op4_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op2_best_fit_packing,
+        tokenfile.op4_token_files,
+        decontam.op5_decontamination,
+        simhash.op9_simhash,
+        ann.op10_anisotropic_search,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontam.OP5_SQL}
