@@ -178,6 +178,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _clean(windows, at: int):
+    def run(batches):
+        by = windows.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = np.ones(len(texts), bool)
+            for a, _, s in shards(texts):
+                here = s.named(by.vocabulary)
+                for _, phrases, _ in by.by_size:
+                    keep[a + here.doc(here.find(phrases)[0])] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, in whose ``text`` no window stands; those without words stay.
+
+    Each task indexes its own rows in memory, so no text is shuffled or stored.
+    """
+    for w in blocks(benchmark, window, block_words):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(w), docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
