@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, licences, packing, pii, simhash, tokenfile, warc
+from . import ann, decontam, langid, licences, packing, pii, simhash, tokenfile, warc, wordpiece
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         warc.op3_warc,
         tokenfile.op4_token_files,
         decontam.op5_decontamination,
+        wordpiece.op6_token_counts,
         pii.op7_pii,
         langid.op8_language_id,
         simhash.op9_simhash,
