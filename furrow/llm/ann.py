@@ -119,7 +119,7 @@ def _matrix(column) -> np.ndarray:
 
 def _codes(shared):
     def run(batches):
-        q = shared.value
+        q = shared.value[0]
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)
@@ -130,23 +130,28 @@ def _codes(shared):
     return run
 
 
+def scores(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of a query's table entries over codes (bytes, n)."""
+    out = np.zeros(codes.shape[1], np.float32)
+    for row, code in zip(lut, codes, strict=True):
+        out += row[code]
+    return out
+
+
 def _scan(shared, keep: int):
     def run(batches):
-        q = shared.value
+        q = shared.value[0]
         for batch in batches:
             for r in range(batch.num_rows):
-                n, raw_ids, raw_codes, q_ids, q_vecs = (batch.column(k)[r].as_py() for k in range(5))
+                n, raw_ids, raw_codes, q_ids, q_vecs, q_least = (batch.column(k)[r].as_py() for k in range(6))
                 ids, codes = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, n)
-                q_ids = np.frombuffer(q_ids, "<i8")
+                q_ids, q_least = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_least, "<f4")
                 q_vecs = np.frombuffer(q_vecs, "<f8").reshape(len(q_ids), -1)
                 cols: list[list[np.ndarray]] = [[], [], []]
-                for qid, vec in zip(q_ids, q_vecs, strict=True):
-                    lut = q.tables(vec)
-                    score = np.zeros(n, np.float32)
-                    for table_, code in zip(lut, codes, strict=True):
-                        score += table_[code]
-                    at = best(score, ids, keep + 1)
-                    at = at[ids[at] != qid][:keep]
+                for qid, vec, least in zip(q_ids, q_vecs, q_least, strict=True):
+                    score = scores(q.tables(vec), codes)
+                    over = np.flatnonzero(score >= least)
+                    at = over[best(score[over], ids[over], keep)]
                     for c, x in zip(cols, (np.full(len(at), qid), ids[at], score[at]), strict=True):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["query_id", "vec_id", "approx"])
@@ -164,11 +169,20 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
-def _blocks(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK_QUERIES):
-            part = batch.slice(a, BLOCK_QUERIES)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([unit(_matrix(part.column(1))).astype("<f8").tobytes()], pa.binary())], names=["q_ids", "q_vecs"])
+def _blocks(shared, rank: int):
+    """Blocks of queries: ids, unit vectors, and each one's rank-th best score on the sample's codes."""
+
+    def run(batches):
+        q, sample = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK_QUERIES):
+                part = batch.slice(a, BLOCK_QUERIES)
+                vecs = unit(_matrix(part.column(1)))
+                least = np.array([np.partition(x := scores(q.tables(v), sample), len(x) - rank)[len(x) - rank] for v in vecs], "<f4")
+                raw = (part.column(0).to_numpy().astype("<i8"), vecs.astype("<f8"), least)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=["q_ids", "q_vecs", "q_least"])
+
+    return run
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -184,33 +198,49 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, itself left out.
 
-    is_query: a condition on the column vec_id. All rows are coded and scanned, query block by query
-    block. Ties go to the smaller vec_id. A repeated vec_id stands for its first row by vector; rows
-    that take no part are in ``usable``. An empty table gives no row.
+    is_query: a condition on the column vec_id. Equal vectors are coded and scanned once; of their ids
+    the k + 1 smallest can be among the nearest, so a group of copies costs no more than they do. All
+    others are scanned, query block by query block, and a query's threshold from the bounded sample
+    lets about 1.5 ``rerank`` candidates pass, at least k + 1. Ties go to the smaller vec_id. A repeated
+    vec_id stands for its first row by vector; rows that take no part are told in ``usable``. An empty
+    table gives no row.
     """
     spark = vectors.sparkSession
-    v = materialize(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow().column("vec")
     schema = "query_id long, rank int, vec_id long, score double"
+    v = materialize(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    few = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    copies = v.withColumn("r", few).where(F.col("r") <= k + 1).groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids"))
+    distinct = materialize(copies.select("vec_id", "vec", "ids"))
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow().column("vec")
     if not len(sample):
         return spark.createDataFrame([], schema)
-    q = spark.sparkContext.broadcast(Quantiser.train(unit(_matrix(sample.combine_chunks()))))
-    queries = v.where(is_query)
-    codes = materialize(v.mapInArrow(_codes(q), "n int, ids binary, codes binary"))
-    blocks = materialize(queries.coalesce(max(1, queries.count() // BLOCK_QUERIES)).mapInArrow(_blocks, "q_ids binary, q_vecs binary").withColumn("block", F.monotonically_increasing_id()))
+    x = unit(_matrix(sample.combine_chunks()))
+    quantiser = Quantiser.train(x)
+    q = spark.sparkContext.broadcast((quantiser, nibbles(quantiser.encode(x))))
+    rank = min(len(x), max(k + 1, -(-3 * rerank * len(x) // (2 * distinct.count())) if distinct.count() > len(x) else rerank))
+    asked = materialize(v.where(is_query).withColumnRenamed("vec_id", "query_id").join(distinct.select("vec", "vec_id"), "vec").select("query_id", "vec_id"))
+    queries = distinct.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "vec")
+    codes = materialize(distinct.select("vec_id", "vec").mapInArrow(_codes(q), "n int, ids binary, codes binary"))
+    blocks = queries.coalesce(max(1, asked.count() // BLOCK_QUERIES)).mapInArrow(_blocks(q, rank), "q_ids binary, q_vecs binary, q_least binary")
+    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
     numbers = [r["block"] for r in blocks.select("block").collect()]
     if not numbers:
         return spark.createDataFrame([], schema)
     # Each chunk of codes meets each block of queries: the stated query set against all rows.
-    met = codes.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(blocks, "block").select("n", "ids", "codes", "q_ids", "q_vecs")
+    met = codes.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(blocks, "block").select("n", "ids", "codes", "q_ids", "q_vecs", "q_least")
     found = met.mapInArrow(_scan(q, rerank), "query_id long, vec_id long, approx float")
     order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     near = materialize(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank).select("query_id", "vec_id"))
     mine = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
-    pairs = near.join(v, "vec_id").join(mine, "query_id").select("query_id", "vec_id", "query", "vec")
+    pairs = near.join(distinct, "vec_id").join(mine, "query_id").select("query_id", "vec_id", "query", "vec")
     scored = pairs.mapInArrow(_exact, "query_id long, vec_id long, score double")
+    # More vectors than k + 1 can't hold a nearest id: each of those before has a smaller one.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    named = top.join(distinct.select("vec_id", "ids"), "vec_id").select(F.col("query_id").alias("vec_id"), "score", "ids")
+    each = asked.join(named, "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_anisotropic_search(spark, sf_dir: str) -> DataFrame:
