@@ -36,7 +36,7 @@ SCHEMA = pa.schema([("label", pa.string()), ("flight_date", pa.date32()), ("erro
 
 def date_of_name(path: Column) -> Column:
     """A date from the first eight digits of a file's name (yyyyMMdd), else NULL."""
-    return F.try_to_date(F.regexp_extract(path, r"(?:^|/)([0-9]{8})[^/]*$", 1), F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.expr("NULL")
+    return F.try_to_date(F.regexp_extract(path, r"(?:^|/)([0-9]{8})[^/]*$", 1), "yyyyMMdd")
 
 
 def scan_rasters(spark: SparkSession, path: str, pattern: str = "*.tif", n_bands: int | None = None) -> DataFrame:
