@@ -315,6 +315,13 @@ def ow_spearman(spark, sf_dir):
     return _ow(spark, sf_dir, rank.single_means, "spearman")
 
 
+@query(MEANS + ", every_w AS (SELECT * FROM single UNION ALL SELECT * FROM win), r AS (" + CORR.format(m="every_w", a="v", b="t").replace("round(", "(").replace(", 9) + 0.0 AS r", ") AS r") + """), fd AS (SELECT DISTINCT flight, flight_date FROM vin)
+SELECT CASE WHEN i = j THEN 'single' ELSE 'window' END AS type, a.flight_date AS date_from, b.flight_date AS date_to, round(r, 9) + 0.0 AS r, round(r * r, 9) + 0.0 AS r2, n_plots
+FROM r JOIN fd AS a ON a.flight = i JOIN fd AS b ON b.flight = j ORDER BY abs(r) DESC NULLS LAST, CASE WHEN i = j THEN 0 ELSE 1 END, i, j LIMIT 10""")
+def ow_top(spark, sf_dir):
+    return optimal_window(spark, sf_dir).drop("p_value")
+
+
 @query()
 def optimal_window(spark, sf_dir):
     vi = ndvi(spark, sf_dir, nulls=True)
@@ -363,7 +370,13 @@ def qc_metrics(spark, sf_dir):
     return m.select(F.col("flight").cast("string").alias("label"), F.col("flight_date").cast("string").alias("date"), F.lit(4).alias("n_bands"), (F.col("lap_var") < 100).alias("flag_blur"), "mean_brightness", "irradiance_cv", "lap_var")
 
 
-@query()
+@query(f"""WITH {PX4_CTE}, {LAP.format(band="green", px="px4n")}, lv AS (SELECT flight, var_samp(l) AS lap FROM lap GROUP BY 1), {SAT}, sf AS (SELECT flight, avg(frac) AS sat FROM sat GROUP BY 1),
+m AS (SELECT flight, flight_date, avg(CAST(green IS NULL AS DOUBLE)) AS nod, (avg(green) + avg(red) + avg(rededge) + avg(nir)) / 4 AS bright,
+(stddev_samp(green) / avg(green) + stddev_samp(red) / avg(red) + stddev_samp(rededge) / avg(rededge) + stddev_samp(nir) / avg(nir)) / 4 AS irr FROM px4n GROUP BY ALL),
+g AS (SELECT *, nod > 0.1 AS f1, lap < 100 AS f2, irr > 0.15 AS f3, sat > 0.02 AS f4, 100 - 20 * CAST(nod > 0.1 AS INT) - 25 * CAST(lap < 100 AS INT) - 20 * CAST(irr > 0.15 AS INT) - 15 * CAST(sat > 0.02 AS INT) AS score FROM m JOIN lv USING (flight) JOIN sf USING (flight))
+SELECT CAST(flight AS VARCHAR) AS label, CAST(flight_date AS VARCHAR) AS date, 4 AS n_bands, {rd("round_even(nod * 100, 1)")} AS nodata_pct, {rd("round_even(bright, 4)")} AS mean_brightness, {rd("round_even(irr, 4)")} AS irradiance_cv,
+{rd("round_even(lap, 1)")} AS blur_laplacian, {rd("round_even(sat * 100, 2)")} AS sat_frac_pct, FALSE AS flag_bands, f1 AS flag_nodata, f2 AS flag_blur, f3 AS flag_irradiance, f4 AS flag_saturation,
+greatest(0, score) AS overall_score, CASE WHEN score >= 80 THEN 'Accept' WHEN score >= 50 THEN 'Caution' ELSE 'Reject' END AS recommendation FROM g""")
 def qc_summary(spark, sf_dir):
     return qc.flight_qc(fx.px4(spark, sf_dir, nulls=True).pixels, fx.PX4_BANDS, qc.QCParams(expected_bands=4), date="flight_date")
 
@@ -463,16 +476,29 @@ def components_8(spark, sf_dir):
     return labels.select("y", "x", "label")
 
 
-@query()
-def panels_detect(spark, sf_dir):
+PATCHES = f"""WITH RECURSIVE {PX4_CTE}, f AS (SELECT *, (green + red + rededge + nir) / 4 AS b FROM px4 WHERE flight = 1),
+c AS (SELECT * FROM f WHERE b >= (SELECT quantile_cont(b, 0.92) - 1e-12 FROM f)), reach(y, x, l) AS (SELECT y, x, CAST(y AS BIGINT) * 4294967296 + x FROM c
+UNION SELECT c.y, c.x, r.l FROM reach AS r JOIN c ON abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1), lb AS (SELECT y, x, min(l) AS label FROM reach GROUP BY ALL),
+p AS (SELECT label, CAST(count(*) AS DOUBLE) AS area_m2, avg(green) AS green, avg(red) AS red, avg(rededge) AS rededge, avg(nir) AS nir FROM lb JOIN c USING (y, x) GROUP BY 1 HAVING count(*) BETWEEN 1 AND 50),
+q AS (SELECT *, (green + red + rededge + nir) / 4 AS brightness, list_aggregate([green, red, rededge, nir], 'stddev_samp') / ((green + red + rededge + nir) / 4) AS cv FROM p),
+t AS (SELECT *, round_even(greatest(0, least(1, 1 - cv / 2.0)), 3) AS confidence, round_even(cv, 4) AS spectral_cv FROM q),
+top AS (SELECT *, 'panel_' || row_number() OVER (ORDER BY CAST(spectral_cv <= 2 AS INT) DESC, confidence DESC, label) AS panel_id FROM t QUALIFY row_number() OVER (ORDER BY CAST(spectral_cv <= 2 AS INT) DESC, confidence DESC, label) <= 3)"""
+
+
+def _panels_found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
-    return panels.detect_panels(px, BANDS4, FIELD, 3, (1.0, 50.0), flatness=2.0)
+    return px, panels.detect_panels(px, BANDS4, FIELD, 3, (1.0, 50.0), flatness=2.0)
 
 
-@query()
+@query(PATCHES + f" SELECT panel_id, {rd('brightness')} AS brightness, {rd('spectral_cv')} AS spectral_cv, area_m2, {rd('confidence')} AS confidence FROM top")
+def panels_detect(spark, sf_dir):
+    return _panels_found(spark, sf_dir)[1].drop("mean_dn", "ring")
+
+
+@query(PATCHES + " SELECT panel_id, CAST(x AS DOUBLE) AS x, round(v, 9) + 0.0 AS mean_dn FROM (SELECT panel_id, unnest([550.0, 660.0, 735.0, 790.0]) AS x, unnest([green, red, rededge, nir]) AS v FROM top)")
 def panel_spectra(spark, sf_dir):
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
-    return views.panel_qc_plot(px, panels.detect_panels(px, BANDS4, FIELD, 3, (1.0, 50.0), flatness=2.0), list(BANDS4), list(fx.PX4_NM))["spectra"]
+    px, found = _panels_found(spark, sf_dir)
+    return views.panel_qc_plot(px, found, list(BANDS4), list(fx.PX4_NM))["spectra"]
 
 
 def _segmented(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -33,10 +33,10 @@ def window_means(vi: VIStack, located: DataFrame, index: str) -> DataFrame:
     grow = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
     sums = values.select("plot_id", F.aggregate(segment, F.array(F.lit(0.0)), grow).alias("c"), F.aggregate(F.transform("a", lambda v: v.isNull().cast("int")), F.array(F.lit(0)), grow).alias("n"))
     windows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, n + 1) for j in range(i + 1, n + 1)])
-    each = sums.withColumn("w", F.explode(windows)).select("plot_id", "w.i", "w.j", "c", "n")
-    valid = F.element_at("n", F.col("j") + 1) == F.element_at("n", F.col("i"))
-    area = F.when(valid, F.element_at("c", F.col("j")) - F.element_at("c", F.col("i")))
-    return each.groupBy("plot_id", "i", "j").agg(F.avg(area).alias("v"))
+    valid = lambda w: F.element_at("n", w["j"] + 1) == F.element_at("n", w["i"])
+    area = lambda w: F.when(valid(w), F.element_at("c", w["j"]) - F.element_at("c", w["i"]))
+    each = sums.select("plot_id", F.explode(F.transform(windows, lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), area(w).alias("v")))).alias("w"))
+    return each.groupBy("plot_id", "w.i", "w.j").agg(F.avg("w.v").alias("v")).select("plot_id", "i", "j", "v")
 
 
 def ranked(df: DataFrame, col: str) -> F.Column:

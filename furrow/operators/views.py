@@ -15,7 +15,7 @@ from .segment import contrast_column
 #: Most plots whose ids are shown.
 SEGMENT_LABELS, GRID_LABELS = 200, 50
 #: Points of a local fit; share of the points that each local line is fitted to.
-LOESS_POINTS, LOESS_SPAN, LOESS_ROWS = 80, 0.75, 5000
+LOESS_POINTS, LOESS_SPAN, LOESS_ROWS = 80, 0.75, 1000
 
 
 def trait_points(fused: DataFrame, trait: str, vi_col: str = "mean", colour_by: str | None = None, facet_by: str | None = None) -> DataFrame:
