@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize, shared_dir  # noqa: F401  the operators take them from here
+
 #: Upper-case ASCII letters to lower case, and nothing else.
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: A word: digits, lower-case ASCII letters and everything beyond ASCII.
@@ -16,32 +17,14 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Characters of text that a Python worker holds as separate words at a time.
 SLICE_CHARS = 2_000_000
+#: Bytes of text that a Python worker holds as strings at a time.
+PART_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below the session's spark.checkpoint.dir.
-
-    Where that is unset (tests, a local session) a temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="furrow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/furrow-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows restarts from the files."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
@@ -63,6 +46,33 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS):
         yield a, len(texts)
 
 
+def parts(batches, at: int, size: int = PART_BYTES):
+    """Arrow batches in parts of about that many bytes of text in column ``at``: what a worker turns
+    into Python objects at a time. A longer text stands alone; an empty batch stays."""
+    for batch in batches:
+        n = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        if n.sum() <= size:
+            yield batch
+            continue
+        part = (n.cumsum() - 1).clip(0) // size
+        edges = [0, *(part[1:] != part[:-1]).nonzero()[0] + 1, len(n)]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
+_LARGE: dict = {}
+
+
+def large(key=None, make=None):
+    """The worker's one large object: made at first, kept between tasks, gone when another is asked
+    for. Without a key it only goes: workers serve many stages, and memory is bounded."""
+    if key not in _LARGE:
+        _LARGE.clear()
+        if key is not None:
+            _LARGE[key] = make()
+    return _LARGE.get(key)
+
+
 def keyed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Only the key as a long and the text, whatever other columns there are."""
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table
+from .common import PART_BYTES, keyed, large, materialize, parts, table
 from .positional import Shard, byte_words, shards
 
 WINDOW = 10
@@ -26,8 +26,9 @@ PLACE_SCHEMA = "doc_id long, item_id string, start long, size int"
 
 
 def _index(batches):
+    large()
     part, k = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in parts(batches, 1, 2 * PART_BYTES):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b, s in shards(texts):
             raw = [s.ends.astype("<i8").tobytes(), b" ".join(s.terms), s.first.astype("<i4").tobytes(), s.postings.astype("<i4").tobytes()]
@@ -180,8 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def _clean(windows, at: int):
     def run(batches):
+        large()
         by = windows.value
-        for batch in batches:
+        for batch in parts(batches, at, 2 * PART_BYTES):
             texts = batch.column(at).to_pylist()
             keep = np.ones(len(texts), bool)
             for a, _, s in shards(texts):

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import large, materialize, parts, slices, table
 
 UNKNOWN = "und"
 #: Bounds of the model: languages (the most frequent labels), 4-grams a language (the most frequent),
@@ -66,8 +66,9 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def _counts(batches):
+    large()
     kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+    for batch in parts(batches, 0):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
             for lang in set(langs[a:b]):
@@ -219,12 +220,12 @@ def train(docs: DataFrame, max_grams: int = GRAMS) -> Model:
     lang, gram, n = kept.column("lang").to_numpy(zero_copy_only=False), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
     m = Model.build({x: (gram[lang == x].view(np.uint64), n[lang == x]) for x in top})
     sample = labelled.where(aside).orderBy("h").limit(CALIBRATION_ROWS).select("text", "lang")
-    rows = sample.mapInArrow(_excerpt_free, "text string, lang string").collect()
+    rows = sample.mapInArrow(_ordinary, "text string, lang string").collect()
     m.calibrate([r["text"] for r in rows], [r["lang"] for r in rows])
     return m
 
 
-def _excerpt_free(batches):
+def _ordinary(batches):
     """Calibration texts of ordinary size only: the driver holds them all."""
     for batch in batches:
         yield batch.filter(pa.array([len(t) <= 20_000 for t in batch.column(0).to_pylist()]))
@@ -235,8 +236,9 @@ PRED_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, re
 
 def _predict(shared):
     def run(batches):
+        large()
         m: Model = shared.value
-        for batch in batches:
+        for batch in parts(batches, 2):
             texts = batch.column(2).to_pylist()
             letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
             names, score, out, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts))
@@ -267,8 +269,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def _accepted(shared, names: list[str]):
     def run(batches):
+        large()
         m: Model = shared.value
-        for batch in batches:
+        for batch in parts(batches, names.index("text")):
             texts = batch.column(names.index("text")).to_pylist()
             keep = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
             at = np.flatnonzero(keep)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, table
+from .common import PART_BYTES, keyed, large, parts, table
 from .positional import Shard, byte_words, shards
 
 #: The base phrases and their labels.
@@ -139,8 +139,9 @@ def alignments(here: Shard, rules: Rules) -> list[tuple[int, int, float]]:
 
 def _scan(shared):
     def run(batches):
+        large()
         rules: Rules = shared.value
-        for batch in batches:
+        for batch in parts(batches, 1, 2 * PART_BYTES):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b, whole in shards(texts):
                 here, n = whole.named(rules.vocabulary), b - a

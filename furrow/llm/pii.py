@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table
+from .common import keyed, large, materialize, parts, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "local_phone", "national_id", "iban", "spelled_email", "name")
@@ -223,6 +223,7 @@ def proposals(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 
 def _find(batches):
     """patterns holds those of the base spans first, then those of the others."""
+    large()
     for batch in batches:
         base, more, patterns = [], [], []
         for text in batch.column(1):
@@ -280,7 +281,8 @@ def redacted(text: str, good: frozenset[int]) -> str:
 
 def _redact(good: frozenset[int], at: int, name: str):
     def run(batches):
-        for batch in batches:
+        large()
+        for batch in parts(batches, at):
             texts = [t if t is None else redacted(t, good) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, name, pa.array(texts, batch.schema.field(at).type))
 

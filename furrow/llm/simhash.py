@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import keyed, materialize, slices, table
+from ..operators.components import connected_components
+from .common import keyed, large, materialize, parts, slices, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -57,7 +58,8 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 
 def _prints(batches):
-    for batch in batches:
+    large()
+    for batch in parts(batches, 1):
         fps = fingerprints(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -135,26 +137,6 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of the undirected edges u, v.
-
-    Steps repeat until the links don't change; the driver gets their number and hash sum.
-    """
-    state, edges = None, materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        edges = materialize(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs.
 
@@ -163,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = materialize(keyed(docs, "doc_id").mapInArrow(_prints, PRINT_SCHEMA))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = connected_components(links(distinct)).withColumnRenamed("node", "fp")
     roots = distinct.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = materialize(roots)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -9,6 +9,7 @@ strings of special tokens are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from struct import pack
@@ -16,6 +17,8 @@ from struct import pack
 import numpy as np
 import public_tokenizers
 
+from .common import large
+
 #: Entries of a cache that were met again, and of those met once: some 250 MB for both tokenizer levels.
 KEPT, NEW = 600_000, 200_000
 
@@ -63,7 +66,9 @@ class _Words(_Cache):
         self.tokenize, self.shown = model.tokenize, byte_table()
 
     def made(self, word: str) -> bytes:
-        shown = word if word.isalnum() and word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        lead = self.shown[0x20] if word[:1] == " " else ""
+        body = word[1:] if lead else word
+        shown = lead + body if body.isascii() and body.isalnum() else "".join(map(self.shown.__getitem__, word.encode()))
         ids = [t.id for t in self.tokenize(shown)]
         return pack(f"<{len(ids)}I", *ids)
 
@@ -107,11 +112,10 @@ class Encoder:
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; it stays between tasks."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    """The worker's encoder for a vocabulary file; it stays between tasks.
+
+    The caches hold no cycles, so the worker's collector needn't walk them as often.
+    """
+    gc.set_threshold(100_000, 50, 100)
+    return large(("encoder", name), lambda: Encoder(name))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import keyed, table
+from .common import keyed, large, table
 from .tokens import KEPT, byte_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -101,14 +101,9 @@ class _Counts(dict):
         return n
 
 
-_COUNTS: dict[str, _Counts] = {}
-
-
 def counter(name: str) -> _Counts:
     """The worker's counts for a vocabulary file; they stay between tasks."""
-    if name not in _COUNTS:
-        _COUNTS[name] = _Counts(Automaton(*vocabulary(name)))
-    return _COUNTS[name]
+    return large(("counts", name), lambda: _Counts(Automaton(*vocabulary(name))))
 
 
 def _count(name: str):

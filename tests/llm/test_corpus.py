@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from furrow.llm import ann, queries, simhash, warc
+from furrow.operators.components import connected_components
 
 RNG = random.Random(11)
 
@@ -54,7 +55,7 @@ def test_links_lose_no_pair(spark):
     fps = sorted(fps)
     pairs = [(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= 3]
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
+    found = connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
     got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in found.collect()}
     want = components(pairs, fps)
     groups = lambda m: {frozenset(n for n in m if m[n] == r) for r in set(m.values())}
