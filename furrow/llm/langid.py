@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import large, materialize, parts, slices, table
@@ -215,8 +215,14 @@ def train(docs: DataFrame, max_grams: int = GRAMS) -> Model:
     if not top:
         return Model.build({})
     limit = min(max_grams, CELLS // len(top) ** 2)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = counts.where(F.col("lang").isin(top)).withColumn("r", rank).where(F.col("r") <= limit).select("lang", "gram", "n").toArrow()
+    # The least count that no more grams reach, to a sixteenth of a power of two: no language's grams are sorted.
+    level = F.floor(F.log2("n") * 16)
+    held = {x: [0] * 1024 for x in top}
+    for r in counts.where(F.col("lang").isin(top)).groupBy("lang", level.alias("level")).count().collect():
+        held[r["lang"]][r["level"]] += r["count"]
+    cut = {x: next((k for k in range(1024) if sum(h[k:]) <= limit), 1024) for x, h in held.items()}
+    least = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])[F.col("lang")]
+    kept = counts.where(F.col("lang").isin(top) & (level >= least)).select("lang", "gram", "n").toArrow()
     lang, gram, n = kept.column("lang").to_numpy(zero_copy_only=False), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
     m = Model.build({x: (gram[lang == x].view(np.uint64), n[lang == x]) for x in top})
     sample = labelled.where(aside).orderBy("h").limit(CALIBRATION_ROWS).select("text", "lang")

@@ -269,6 +269,8 @@ def test_languages(docs, none):
     assert {2, 3, 4, 5}.isdisjoint(kept) and set(range(100, 220)) <= kept
     unknown = docs.selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r["lang_pred"] for r in langid.identify(unknown).collect()} == {"und"}
+    small = langid.train(docs, max_grams=100)
+    assert small.langs == ["de", "en", "fr"] and 0 < len(small.grams[4]) <= 300
     foreign = docs.selectExpr("doc_id", "repeat('日本語の文章です。', 20) as text", "lang")
     assert langid.identify(foreign, langid.train(docs)).where("not rejected").count() == 0
 
