@@ -83,6 +83,13 @@ class _Chunks(_Cache):
 
     def made(self, chunk: str) -> bytes:
         text = self.lead + chunk
+        if chunk.isascii() and len(chunk) < 1000:  # most chunks: a word, maybe with a sign behind it
+            if self.lowered:
+                text = text.lower()
+            if chunk.isalpha():
+                return self.words[text]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
+                return self.words[text[:-1]] + self.words[text[-1]]
         if len(text) < 1000 and PLAIN.fullmatch(text):
             return b"".join(map(self.words.__getitem__, self.split(text.lower() if self.lowered else text)))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
