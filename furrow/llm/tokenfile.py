@@ -155,12 +155,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Encode the whole texts of docs and write token files to path in ascending doc_id order.
 
     A null text is an empty one and still gets its end id; null doc_ids come first, equal ones stand
-    in the order of their texts. An empty table gives files without a segment. Texts are dealt by
-    ranges of doc_id and text, so a doc_id that many rows share spreads over tasks.
+    in the order of their texts' hashes. An empty table gives files without a segment. Texts are dealt
+    by ranges of doc_id and hash: a doc_id that many rows share spreads over tasks, and the sample that
+    the driver takes for the ranges holds no text.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed(docs, "doc_id").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_write(tokenizer, end_id, bits), SEGMENT_SCHEMA).write.parquet(path)
+    dealt = keyed(docs, "doc_id").withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h")
+    dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(_write(tokenizer, end_id, bits), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def _read(batches):
