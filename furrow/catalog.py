@@ -355,7 +355,7 @@ th AS (SELECT flight, band, quantile_cont(CAST(v AS DOUBLE), 0.95) AS threshold
 sat AS (SELECT flight, band, any_value(threshold) AS threshold, avg(CAST(v >= threshold AS DOUBLE)) AS frac FROM lg JOIN th USING (flight, band) GROUP BY ALL)"""
 
 
-@query(f"WITH {PX4_CTE}, {SAT} SELECT flight, band, {rd('threshold')} AS threshold FROM sat")
+@query(f"WITH {PX4_CTE}, {SAT} SELECT flight, band, {rd('threshold', 12)} AS threshold FROM sat", 12)
 def qc_thresholds(spark, sf_dir):
     return qc.saturation(fx.px4(spark, sf_dir, nulls=True).pixels, ["flight"], fx.PX4_BANDS).drop("frac")
 
