@@ -1,14 +1,17 @@
 """Licence scan by a positional index of rare words.
 
-Document frequencies of the templates' words over all documents give their IDF. Of each file's
-licence words, the occurrences of those with the highest IDF look up template postings; hits that
-agree on the relative position of file and template are one alignment. An alignment counts when
-enough of the template's words stand in place, and its licence when every mandatory key phrase of the
-template stands in the file too. Base phrases are found at all their places.
+Document frequencies of the templates' words over all documents give their IDF. Each template is
+indexed at its own highest-IDF words, one more than an alignment that counts may lack, so none escapes
+however common its words are. Of each file's licence words, the occurrences of those with the highest
+IDF look up these postings; hits that agree on the relative position of file and template are one
+alignment. An alignment counts when enough of the template's words stand in place, and its licence when
+every mandatory key phrase of the template stands in the file too. Files where none counts are scored
+by all words. Base phrases are found at all their places.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -47,9 +50,9 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
 
-#: A word is rare in the index up to this share of documents; rare words of a file looked up at most,
-#: highest IDF first; share of a template's words that must stand in place.
-RARE_SHARE, LOOKED_UP, IN_PLACE = 0.05, 32, 0.75
+#: Indexed words of a file looked up at most, highest IDF first; share of a template's words that must
+#: stand in place.
+LOOKED_UP, IN_PLACE = 32, 0.75
 
 OUT_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -72,11 +75,17 @@ class Rules:
         return [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in byte_words(text)]
 
     def index(self, df: np.ndarray, n_docs: int) -> None:
-        """The postings (word -> template, place) of rare words, and every word's IDF."""
+        """The postings (word -> template, place) of each template's rarest words, and every word's IDF.
+
+        Of an alignment that counts at least ceil(IN_PLACE * n) of n words stand in place, so one of any
+        n - ceil(IN_PLACE * n) + 1 places does.
+        """
         self.idf = np.log((1 + n_docs) / (1 + df))
-        rare = df <= max(1, RARE_SHARE * n_docs)
-        posts = sorted((int(w), t, j) for t, (_, words, _) in enumerate(self.templates) for j, w in enumerate(words) if rare[w])
-        self.posts = np.array(posts, np.int64).reshape(-1, 3)
+        posts = []
+        for t, (_, words, _) in enumerate(self.templates):
+            n = len(words) - math.ceil(IN_PLACE * len(words)) + 1
+            posts += [(int(words[j]), t, j) for j in np.argsort(-self.idf[words], kind="stable")[:n].tolist()]
+        self.posts = np.array(sorted(posts), np.int64).reshape(-1, 3)
         self.first = np.searchsorted(self.posts[:, 0], np.arange(len(self.vocabulary) + 1))
 
 
@@ -137,6 +146,26 @@ def alignments(here: Shard, rules: Rules) -> list[tuple[int, int, float]]:
     return [(d, t, s) for (d, t), s in best.items()]
 
 
+def best_shares(here: Shard, rules: Rules, docs: np.ndarray) -> np.ndarray:
+    """The best share of a template's words in place in each of docs (ascending), by all words."""
+    lens, begin = np.diff(here.ends, prepend=0)[docs], np.concatenate(([0], here.ends[:-1]))[docs]
+    gap = max((len(words) for _, words, _ in rules.templates), default=0)
+    edge = np.cumsum(lens + gap) - lens - gap  # a document's starts, from gap before its first word
+    number = np.full(len(here.ends), -1)
+    number[docs] = np.arange(len(docs))
+    own = number[here.doc(here.postings)]
+    kept = np.concatenate(([0], np.cumsum(own >= 0)))[here.first]
+    at, own = here.postings[own >= 0].astype(np.int64), own[own >= 0]
+    at += edge[own] + gap - begin[own]
+    best = np.zeros(len(docs))
+    for _, words, _ in rules.templates if len(docs) else ():
+        count = np.zeros(int((lens + gap).sum()), np.int32)
+        for j, w in enumerate(words.tolist()):
+            count[at[kept[w] : kept[w + 1]] - j] += 1
+        best = np.maximum(best, np.maximum.reduceat(count, edge) / len(words))
+    return best
+
+
 def _scan(shared):
     def run(batches):
         large()
@@ -164,6 +193,9 @@ def _scan(shared):
                     if share >= IN_PLACE and has[d].issuperset(must):
                         labels[d].add(label)
                     score[d] = max(score[d], share)
+                left = np.flatnonzero(np.array(score) < IN_PLACE)
+                for d, share in zip(left.tolist(), best_shares(here, rules, left).tolist(), strict=True):
+                    score[d] = share
                 joined = lambda x: [",".join(sorted(y)) for y in x]
                 cols = [pa.array(ids[a:b], pa.int64()), pa.array((here.ends - begin).tolist(), pa.int64()), *(pa.array(x, pa.int64()) for x in (n_base, first, last)), pa.array(joined(base)), pa.array(joined(labels)), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])

@@ -195,6 +195,20 @@ def test_licences(docs, none, spark):
     assert got[1]["labels"] == "bsd" and got[2]["labels"] == "" and got[3]["base_labels"] == "cc-by-nc" and (got[4]["n_base"], got[4]["last_word"]) == (2, 3)
 
 
+def test_common_licences_are_found_like_rare_ones(spark):
+    """In small tables, in a table where every row has the text, and the score by all words in place."""
+    whole = {label: text for label, text, _ in licences.TEMPLATES[::-1]}
+    rows = [(0, whole["bsd"]), (1, "x " + whole["bsd"]), *((k, prose("en", 30)) for k in (2, 3, 4))]
+    rows += [(100 + 100 * k + j, f"{prose('en', 20)} {whole[x]}") for k, x in enumerate(("isc", "gpl-2", "cc0")) for j in range(30)]
+    rows += [(900, "the following conditions are met of the")]
+    for some in (rows[:5], rows[:2], rows):
+        got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got[0]["labels"] == got[1]["labels"] == "bsd" and got[1]["score"] == 1
+    assert {(k // 100, r["labels"], r["score"]) for k, r in got.items() if 100 <= k < 400} == {(1, "isc", 1.0), (2, "gpl-2", 1.0), (3, "cc0", 1.0)}
+    want = max(sum(a == b for a, b in zip(t.split()[max(-s, 0) :], rows[-1][1].split()[max(s, 0) :], strict=False)) / len(t.split()) for _, t, _ in licences.TEMPLATES for s in range(-60, 8))
+    assert got[900]["labels"] == "" and got[900]["score"] == pytest.approx(want)
+
+
 def brute_pii(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
