@@ -2,9 +2,8 @@
 
 Document frequencies of the templates' words over all documents give their IDF. Each template is
 indexed at its own highest-IDF words, one more than an alignment that counts may lack, so none escapes
-however common its words are. Of each file's licence words, the occurrences of those with the highest
-IDF look up these postings; hits that agree on the relative position of file and template are one
-alignment. An alignment counts when enough of the template's words stand in place, and its licence when
+however common its words are. All occurrences of these words in a file look up the postings; hits that
+agree on the relative position of file and template are one alignment. An alignment counts when enough of the template's words stand in place, and its licence when
 every mandatory key phrase of the template stands in the file too. Files where none counts are scored
 by all words. Base phrases are found at all their places.
 """
@@ -50,9 +49,8 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
 
-#: Indexed words of a file looked up at most, highest IDF first; share of a template's words that must
-#: stand in place.
-LOOKED_UP, IN_PLACE = 32, 0.75
+#: Share of a template's words that must stand in place.
+IN_PLACE = 0.75
 
 OUT_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -116,14 +114,7 @@ def alignments(here: Shard, rules: Rules) -> list[tuple[int, int, float]]:
     if not len(at):
         return []
     doc = here.doc(at)
-    # The highest-IDF words of each file.
-    pair, back = np.unique(np.stack((doc, words), 1), axis=0, return_inverse=True)
-    order = np.lexsort((-rules.idf[pair[:, 1]], pair[:, 0]))
-    rank = np.empty(len(pair), np.int64)
-    rank[order] = np.arange(len(pair)) - np.searchsorted(pair[order, 0], pair[order, 0])
-    keep = rank[back.ravel()] < LOOKED_UP
-    at, words, doc = at[keep], words[keep], doc[keep]
-    # Their template postings, by relative position.
+    # Template postings, by relative position.
     n = rules.first[words + 1] - rules.first[words]
     reps = np.repeat(np.arange(len(at)), n)
     post = rules.first[words[reps]] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)

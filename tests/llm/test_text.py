@@ -209,6 +209,15 @@ def test_common_licences_are_found_like_rare_ones(spark):
     assert got[900]["labels"] == "" and got[900]["score"] == pytest.approx(want)
 
 
+def test_every_licence_of_a_file_is_found(spark):
+    """A file that holds all templates, among rows in which the words of its last one are the commonest."""
+    last = "licensed under the gnu general public license version 3"
+    text = " ".join(t for _, t, _ in licences.TEMPLATES if t != last and not t.startswith("this program")) + " " + last
+    rows = [(1, text), *((k, f"{' '.join(reversed(last.split()))} {prose('en', 9)}") for k in range(10, 60))]
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(1).split(",") == sorted({label for label, _, _ in licences.TEMPLATES}) and set(got.values()) == {""}
+
+
 def brute_pii(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
