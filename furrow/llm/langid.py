@@ -1,9 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Counts of character 4-grams come from every labelled row outside the held-out third, summed per
-partition before the shuffle. A 4-gram of 16-bit units is packed into one unsigned 64-bit number, a
-hash without collisions; the models of all languages share sorted arrays of these numbers, one per
-order, with a column of log probabilities per language. A text's score in a language is its
+partition before the shuffle. Continuation counts, discounts and totals come from all of them; then
+each order keeps its most frequent, and what the others held goes to the order below. A 4-gram of 16-bit
+units is packed into one unsigned 64-bit number, a hash without collisions; the models of a block of
+languages share sorted arrays of these numbers, one per order, with a column of log probabilities per
+language. A text's score in a language is its
 cross-entropy a character; the lowest wins. A small part of the labelled rows stays out of the counts
 and calibrates the posterior's temperature and the bound beyond which a text is rejected.
 """
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import large, materialize, parts, slices, table
 
 UNKNOWN = "und"
-#: Bounds of the model: languages (the most frequent labels), 4-grams a language (the most frequent),
-#: probabilities in the shared arrays.
+#: Bounds of the model: languages (the most frequent labels), n-grams a language and order (the most
+#: frequent), probabilities in the shared arrays: with more, languages share arrays in smaller blocks.
 LANGUAGES, GRAMS, CELLS = 200, 200_000, 50_000_000
 #: One labelled row in so many is kept for calibration, and so many rows at most.
 CALIBRATION_PART, CALIBRATION_ROWS = 32, 4000
@@ -89,11 +91,16 @@ def lookup(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == sought
 
 
+def discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+
+
 @dataclass
 class Model:
     """grams[n], logp[n]: sorted n-grams and their log2 probabilities by language; contexts[n],
     back[n]: sorted (n-1)-grams and the log2 weight left to the order below; unseen: log2 probability
-    of a character that no language has."""
+    of a character that no language has. letters: how many characters the languages have. The arrays
+    are those of the first block of langs; further: the models of the other blocks."""
 
     langs: list[str]
     grams: dict[int, np.ndarray]
@@ -101,47 +108,65 @@ class Model:
     contexts: dict[int, np.ndarray]
     back: dict[int, np.ndarray]
     unseen: np.ndarray
+    letters: int = 0
     temperature: float = 1.0
     bounds: np.ndarray | None = None
+    further: tuple[Model, ...] = ()
 
     @classmethod
     def build(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-        langs = sorted(counts)
-        orders: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        """From all 4-grams and their counts by language."""
+        tables: dict[str, dict[int, tuple]] = {}
         for lang, (keys, n) in counts.items():
-            order = np.argsort(keys)
-            orders[lang] = {4: (keys[order], n[order])}
-            for k in (3, 2, 1):  # continuation counts: how many units stand before
-                orders[lang][k] = summed(orders[lang][k + 1][0] & MASKS[k])
-        union = {k: np.unique(np.concatenate([orders[x][k][0] for x in langs])) if langs else np.zeros(0, np.uint64) for k in (1, 2, 3, 4)}
-        m = cls(langs, union, {}, {}, {}, np.zeros(len(langs)))
-        size = len(union[1]) + 1
+            tables[lang] = {}
+            for k in (4, 3, 2, 1):  # below the fourth continuation counts: how many units stand before
+                if k < 4:
+                    keys, n = summed(keys & MASKS[k])
+                _, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+                tables[lang][k] = keys, n, np.bincount(at, n)[at], discount(int((n == 1).sum()), int((n == 2).sum()))
+        return cls.of(tables)
+
+    @classmethod
+    def of(cls, tables: dict[str, dict[int, tuple]], cells: int = CELLS) -> Model:
+        """tables[language][order]: the kept grams, their counts, the totals of their contexts and the discount."""
+        langs = sorted(tables)
+        letters = len(np.unique(np.concatenate([tables[x][1][0] for x in langs]))) if langs else 0
+        width = max(1, cells // max(1, sum(len(tables[x][k][0]) for x in langs for k in (1, 2, 3, 4))))
+        blocks = [cls.block({x: tables[x] for x in langs[a : a + width]}, letters) for a in range(0, max(1, len(langs)), width)]
+        first = blocks[0]
+        first.langs, first.further = langs, tuple(blocks[1:])
+        return first
+
+    @classmethod
+    def block(cls, tables: dict[str, dict[int, tuple]], letters: int) -> Model:
+        langs = sorted(tables)
+        union = {k: np.unique(np.concatenate([tables[x][k][0] for x in langs])) if langs else np.zeros(0, np.uint64) for k in (1, 2, 3, 4)}
+        m, size = cls(langs, union, {}, {}, {}, np.zeros(len(langs)), letters), letters + 1
         for k in (1, 2, 3, 4):
             ctx = np.unique(union[k] >> np.uint64(16))
             p, back = np.zeros((len(union[k]), len(langs))), np.ones((len(ctx), len(langs)))
-            below = 2.0 ** m.logp[k - 1][lookup(union[k - 1], union[k] & MASKS[k - 1])[0]] if k > 1 else np.full_like(p, 1 / size)
+            below = 2.0 ** m.scores(union[k] & MASKS[k - 1], k - 1) if k > 1 else np.full_like(p, 1 / size)
             for j, lang in enumerate(langs):
-                keys, n = orders[lang][k]
-                once, twice = int((n == 1).sum()), int((n == 2).sum())
-                cut = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+                keys, n, total, cut = tables[lang][k]
+                held = np.maximum(n - cut, 0) / total
                 own, at = np.unique(keys >> np.uint64(16), return_inverse=True)
-                total, kinds = np.bincount(at, n, len(own)), np.bincount(at, minlength=len(own))
                 where, _ = lookup(ctx, own)
-                back[where, j] = cut * kinds / total
+                back[where, j] = np.maximum(1 - np.bincount(at, held, len(own)), 1e-12)
                 c = np.zeros(len(union[k]))
-                c[lookup(union[k], keys)[0]] = np.maximum(n - cut, 0) / total[at]
+                c[lookup(union[k], keys)[0]] = held
                 p[:, j] = c + back[lookup(ctx, union[k] >> np.uint64(16))[0], j] * below[:, j]
             m.logp[k], m.contexts[k], m.back[k] = np.log2(p).astype(np.float32), ctx, np.log2(back).astype(np.float32)
-        m.unseen = m.back[1][0] - np.log2(size) if len(m.back[1]) else np.zeros(len(langs))
+            if k == 1 and len(ctx):
+                m.unseen = m.back[1][0] - np.log2(size)
         return m
 
     def scores(self, keys: np.ndarray, order: int = 4) -> np.ndarray:
-        """log2 probabilities (n, languages) of each gram's last unit after the others."""
+        """log2 probabilities (n, languages of the first block) of each gram's last unit after the others."""
         if order == 0:
-            return np.broadcast_to(self.unseen, (len(keys), len(self.langs)))
+            return np.broadcast_to(self.unseen, (len(keys), len(self.unseen)))
         at, found = lookup(self.grams[order], keys)
         if not len(self.grams[order]):
-            return np.broadcast_to(self.unseen, (len(keys), len(self.langs)))
+            return np.broadcast_to(self.unseen, (len(keys), len(self.unseen)))
         out = self.logp[order][at]
         miss = np.flatnonzero(~found)
         if len(miss):
@@ -161,7 +186,8 @@ class Model:
             have = np.flatnonzero(n[a:b])
             if len(have) and self.langs:
                 begin = np.cumsum(n[a:b]) - n[a:b]
-                sums = np.add.reduceat(self.scores(np.concatenate(own)), begin[have], axis=0, dtype=np.float64)
+                keys = np.concatenate(own)
+                sums = np.hstack([np.add.reduceat(b.scores(keys), begin[have], axis=0, dtype=np.float64) for b in (self, *self.further)])
                 out[a + have] = -sums / n[a + have][:, None]
         return out, n
 
@@ -173,7 +199,7 @@ class Model:
     @property
     def uniform(self) -> float:
         """Bits a character where every known one is as likely: a text above tells of no language."""
-        return float(np.log2(len(self.grams[1]) + 1))
+        return float(np.log2(self.letters + 1))
 
     def rejected(self, bits: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
         bound = np.full(len(self.langs), self.uniform) if self.bounds is None else self.bounds
@@ -202,6 +228,56 @@ def split_third(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
+def _fill(grams: DataFrame, quota: dict[str, int]) -> dict[str, int]:
+    """The quota-th gram of each language in signed order, found 16 bits at a time without a sort."""
+    left, prefix = dict(quota), dict.fromkeys(quota, 0)
+    for shift in (48, 32, 16, 0):
+        known = F.create_map(*[F.lit(v) for x, p in prefix.items() for v in (x, p)])[F.col("lang")]
+        some = grams if shift == 48 else grams.where(F.shiftright("gram", shift + 16) == known)
+        digit = F.shiftright("gram", shift) if shift == 48 else F.shiftright("gram", shift).bitwiseAND(0xFFFF)
+        by: dict[str, list[tuple[int, int]]] = {x: [] for x in quota}
+        for r in some.groupBy("lang", digit.cast("long").alias("digit")).count().collect():
+            by[r["lang"]].append((r["digit"], r["count"]))
+        for x, digits in by.items():
+            for d, n in sorted(digits):
+                if left[x] <= n:
+                    prefix[x] = (prefix[x] << 16) + d
+                    break
+                left[x] -= n
+    return prefix
+
+
+def _tables(counts: DataFrame, langs: list[str], limit: int) -> dict[str, dict[int, tuple]]:
+    """What Model.of takes, from all 4-grams: counts, discounts and totals of every order are those of
+    all its grams; of these each language keeps the limit most frequent, by count to a sixteenth of a
+    power of two and then by gram. All single units stay."""
+    tables: dict[str, dict[int, tuple]] = {x: {} for x in langs}
+    level, of = F.floor(F.log2("n") * 16), lambda by: F.create_map(*[F.lit(v) for kv in by.items() for v in kv])[F.col("lang")]
+    for k in (4, 3, 2, 1):
+        if k < 4:
+            counts = materialize(counts.groupBy("lang", F.col("gram").bitwiseAND(int(MASKS[k])).alias("gram")).agg(F.count("*").alias("n")))
+        held, once, twice = {x: [0] * 1024 for x in langs}, dict.fromkeys(langs, 0), dict.fromkeys(langs, 0)
+        for r in counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect():
+            held[r["lang"]][r["level"]] += r["kinds"]
+            once[r["lang"]] += r["once"]
+            twice[r["lang"]] += r["twice"]
+        most = limit if k > 1 else 1 << 16
+        cut = {x: next(j for j in range(1025) if sum(h[j:]) <= most) for x, h in held.items()}
+        keep = level >= of(cut)
+        quota = {x: most - sum(held[x][j:]) for x, j in cut.items() if j and most > sum(held[x][j:])}
+        if quota:  # the level that only a part of fits
+            under = counts.where(F.col("lang").isin(list(quota)) & (level == of(cut) - 1))
+            keep = keep | ((level == of(cut) - 1) & F.coalesce(F.col("gram") <= of(_fill(under, quota)), F.lit(False)))
+        ctx = F.shiftrightunsigned("gram", 16).alias("ctx")
+        total = counts.groupBy("lang", ctx).agg(F.sum("n").alias("total"))
+        kept = counts.where(keep).select("lang", "gram", "n", ctx).join(total, ["lang", "ctx"]).select("lang", "gram", "n", "total").toArrow()
+        lang, gram, n, total = (kept.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n", "total"))
+        for x in langs:
+            own = lang == x
+            tables[x][k] = gram[own].view(np.uint64), n[own], total[own], discount(once[x], twice[x])
+    return tables
+
+
 def train(docs: DataFrame, max_grams: int = GRAMS) -> Model:
     """A calibrated model from the rows of docs with a language and crc32(doc_id) mod 3 other than 1.
 
@@ -214,17 +290,7 @@ def train(docs: DataFrame, max_grams: int = GRAMS) -> Model:
     top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     if not top:
         return Model.build({})
-    limit = min(max_grams, CELLS // len(top) ** 2)
-    # The least count that no more grams reach, to a sixteenth of a power of two: no language's grams are sorted.
-    level = F.floor(F.log2("n") * 16)
-    held = {x: [0] * 1024 for x in top}
-    for r in counts.where(F.col("lang").isin(top)).groupBy("lang", level.alias("level")).count().collect():
-        held[r["lang"]][r["level"]] += r["count"]
-    cut = {x: next((k for k in range(1024) if sum(h[k:]) <= limit), 1024) for x, h in held.items()}
-    least = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])[F.col("lang")]
-    kept = counts.where(F.col("lang").isin(top) & (level >= least)).select("lang", "gram", "n").toArrow()
-    lang, gram, n = kept.column("lang").to_numpy(zero_copy_only=False), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
-    m = Model.build({x: (gram[lang == x].view(np.uint64), n[lang == x]) for x in top})
+    m = Model.of(_tables(counts.where(F.col("lang").isin(top)), top, max_grams))
     sample = labelled.where(aside).orderBy("h").limit(CALIBRATION_ROWS).select("text", "lang")
     rows = sample.mapInArrow(_ordinary, "text string, lang string").collect()
     m.calibrate([r["text"] for r in rows], [r["lang"] for r in rows])

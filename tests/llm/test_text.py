@@ -298,6 +298,35 @@ def test_languages(docs, none):
     assert langid.identify(foreign, langid.train(docs)).where("not rejected").count() == 0
 
 
+def test_cut_language_models_keep_what_all_grams_tell(spark, docs):
+    """The limit is filled although a count level straddles it, and the rest of the mass goes to lower orders."""
+    full, cut = langid.train(docs, max_grams=10**6), langid.train(docs, max_grams=300)
+    assert len(full.grams[4]) > 900 and cut.letters == full.letters and (cut.grams[1] == full.grams[1]).all()
+    assert cut.logp[1] == pytest.approx(full.logp[1], abs=1e-5)
+    one = langid.train(docs.where("lang = 'de'"), max_grams=300)
+    assert len(one.grams[4]) == 300 == min(300, len(langid.train(docs.where("lang = 'de'")).grams[4]))
+    for ctx in (cut.grams[4][10] >> np.uint64(16), cut.grams[4][-1] >> np.uint64(16)):
+        keys = (ctx << np.uint64(16)) | cut.grams[1]
+        rest = cut.scores(np.array([(ctx << np.uint64(16)) | np.uint64(0x4E01)], np.uint64))
+        assert (2.0 ** cut.scores(keys)).sum(0) + 2.0 ** rest[0] == pytest.approx(1, abs=1e-4)
+    singles = spark.createDataFrame([(k, "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(9)), "xx") for k in range(20)], "doc_id long, text string, lang string")
+    assert len(langid.train(singles, max_grams=20).grams[4]) == 20
+
+
+def test_language_blocks_score_like_one_array():
+    counts = {x: langid.summed(np.concatenate([langid.grams(prose(x, 100)) for _ in range(3)])) for x in SYLLABLES}
+    one = langid.Model.build(counts)
+    of = langid.Model.of
+    try:
+        langid.Model.of = classmethod(lambda cls, t, cells=1: of(t, cells=1))
+        several = langid.Model.build(counts)
+    finally:
+        langid.Model.of = of
+    assert len(several.further) == 2 and several.langs == one.langs
+    texts = [prose(x, 20) for x in SYLLABLES] + ["日本 zzz"]
+    assert several.entropies(texts)[0] == pytest.approx(one.entropies(texts)[0], abs=1e-4)
+
+
 def greedy(word, initial, inner):
     n = i = 0
     while i < len(word):
