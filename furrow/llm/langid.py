@@ -28,9 +28,11 @@ UNKNOWN = "und"
 LANGUAGES, GRAMS, CELLS = 200, 200_000, 50_000_000
 #: One labelled row in so many is kept for calibration, and so many rows at most.
 CALIBRATION_PART, CALIBRATION_ROWS = 32, 4000
-#: Share of calibration texts that the bound of their language lets pass; bits a character above that,
-#: for texts of a known script with other words than the labelled ones.
-PASSING, MARGIN = 0.999, 1.5
+#: Share of a language's calibration texts that its bound lets pass at least; share of the texts of other
+#: languages that count as strays when the bound is set below them; bits a character above the first
+#: where there is no other language; bits that a text of one character may lie above the bound, falling
+#: with the root of the length.
+PASSING, STRAYS, MARGIN, SLACK = 0.999, 0.05, 1.5, 4.0
 LETTER = regex.compile(r"\p{L}")
 MASKS = {n: np.uint64((1 << 16 * n) - 1) for n in (1, 2, 3)}
 
@@ -203,13 +205,18 @@ class Model:
 
     def rejected(self, bits: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
         bound = np.full(len(self.langs), self.uniform) if self.bounds is None else self.bounds
-        return bits[np.arange(len(bits)), best] > bound[best] + 4 / np.sqrt(np.maximum(n, 1))
+        return bits[np.arange(len(bits)), best] > bound[best] + SLACK / np.sqrt(np.maximum(n, 1))
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Temperature of the least log loss, and bounds from labelled texts outside the counts."""
+        """Temperature of the least log loss, and bounds from labelled texts outside the counts.
+
+        A language's bound lies halfway from the bits of its own texts to those of texts whose own
+        language is left out and which then come out as this one, but never below its own texts.
+        A language without such texts takes those of all languages.
+        """
         known = {x: j for j, x in enumerate(self.langs)}
         rows = [(t, known[x]) for t, x in zip(texts, langs, strict=True) if x in known]
-        self.bounds = np.full(len(self.langs), self.uniform + MARGIN)
+        self.bounds = np.full(len(self.langs), self.uniform)
         if not rows:
             return
         bits, n = self.entropies([t for t, _ in rows])
@@ -219,9 +226,17 @@ class Model:
             self.temperature = t
             loss[t] = -np.log(np.maximum(self.posterior(bits[have], n[have])[np.arange(have.sum()), true[have]], 1e-12)).mean() if have.any() else 0
         self.temperature = min(loss, key=loss.get)
+        if not have.any():
+            return
+        bits, true = bits[have] - SLACK / np.sqrt(n[have])[:, None], true[have]
+        at = np.arange(len(true))
+        mine = bits[at, true].copy()
+        bits[at, true] = np.inf
+        nearest, strange = bits.argmin(axis=1), bits.min(axis=1)
         for j in range(len(self.langs)):
-            if (own := bits[have & (true == j), j]).size:
-                self.bounds[j] = max(self.uniform, np.quantile(own, PASSING)) + MARGIN
+            own, other = (x[y == j] if (y == j).any() else x for x, y in ((mine, true), (strange, nearest)))
+            top = np.quantile(own, PASSING)
+            self.bounds[j] = max(top, (top + np.quantile(other, STRAYS)) / 2) if len(self.langs) > 1 else top + MARGIN
 
 
 def split_third(key: str) -> Column:

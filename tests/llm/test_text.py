@@ -327,6 +327,16 @@ def test_language_blocks_score_like_one_array():
     assert several.entropies(texts)[0] == pytest.approx(one.entropies(texts)[0], abs=1e-4)
 
 
+def test_texts_of_an_unlearned_language_are_rejected(spark, docs):
+    """In the learned script and with the learned letters, but other words; those of learned languages pass."""
+    syllables = "ää yy kk mi hei lla ssä jo ven".split()
+    rows = [(k, " ".join("".join(RNG.choices(syllables, k=RNG.randint(1, 3))) for _ in range(60)), None) for k in range(20)]
+    rows += [(1000 + k, prose(x, 60), None) for k, x in enumerate(["en", "de", "fr"] * 10)]
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[k]["rejected"] for k in range(20)) and not any(got[k]["rejected"] for k in range(1000, 1030))
+
+
 def greedy(word, initial, inner):
     n = i = 0
     while i < len(word):
