@@ -3,8 +3,10 @@
 Vectors are scaled to length one, so the inner product is the cosine. A codebook of 16 centres for
 every two dimensions is trained on a bounded sample under a loss that weighs the residual along the
 vector more than the residual across it; codes minimise the same loss by coordinate descent. A query
-turns into tables of 16 scores a subspace; scanning all codes by table lookup gives each query's
-``rerank`` best candidates, which are then scored exactly on the original vectors.
+turns into tables of 16 scores a subspace; scanning all codes by table lookup gives each vector's code
+score, and with the code's own error a bound of its cosine. All vectors whose bound reaches what the
+query has for certain are scored exactly on the original vectors, so none of the nearest is lost, however
+many lie closer together than the codes can tell.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from .common import materialize, table
 TRAIN_ROWS, TRAIN_PASSES, CODE_PASSES = 20_000, 8, 2
 #: Weight of the parallel residual comes from this share of the largest score.
 THRESHOLD = 0.2
-#: Candidates per query that are scored exactly; queries of a block; vectors scanned at a time.
-RERANK, BLOCK_QUERIES, CHUNK = 200, 4096, 8192
+#: Best codes that are scored exactly to begin with, for what a query has for certain; queries of a block;
+#: vectors scanned at a time; what sums of table entries may be off by.
+RERANK, BLOCK_QUERIES, CHUNK, ROUNDING = 200, 4096, 8192, 1e-5
 WIDTH, CENTRES = 2, 16
 
 
@@ -117,15 +120,61 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def cosines(raw: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of rows and one vector; a row's result doesn't depend on the others."""
+    with np.errstate(all="ignore"):
+        score = (raw * query).sum(1) / (np.sqrt((raw * raw).sum(1)) * np.sqrt((query * query).sum()))
+    odd = ~np.isfinite(score) | (np.abs(score) > 1.0001)  # squares out of range
+    if odd.any():
+        score[odd] = (unit(raw[odd]) * unit(query[None])).sum(1)
+    return score
+
+
+class Coded:
+    """Vectors with their codes (bytes, n), and each decoded vector's parts along and across its vector."""
+
+    def __init__(self, raw: np.ndarray, codes: np.ndarray, along: np.ndarray, across: np.ndarray) -> None:
+        self.raw, self.codes, self.along, self.across = raw, codes, along, across
+
+    @classmethod
+    def of(cls, q: Quantiser, raw: np.ndarray) -> Coded:
+        x = unit(raw)
+        codes, parts = q.encode(x), q.split(x)
+        decoded = np.stack([c[codes[:, s]] for s, c in enumerate(q.centres)], 1)
+        along = (decoded * parts).sum((1, 2))
+        across = np.sqrt(((decoded - along[:, None, None] * parts) ** 2).sum((1, 2)))
+        return cls(raw, nibbles(codes), along, across)
+
+    def nearest(self, q: Quantiser, query: np.ndarray, ids: np.ndarray, k: int, rerank: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest, but those below least.
+
+        A vector at cosine c has a code score of at least c * along - sqrt(1 - c * c) * across, which
+        grows with c from zero on: a lower score shows that the cosine is below c.
+        """
+        score = scores(q.tables(unit(query[None])[0]), self.codes)
+        first = best(score, ids, max(k, rerank))
+        exact = cosines(self.raw[first], query)
+        if len(exact) >= k:
+            least = max(least, np.partition(exact, len(exact) - k)[len(exact) - k])
+        over = np.arange(len(ids))
+        if least > ROUNDING:
+            c = least - ROUNDING
+            over = np.flatnonzero((score >= c * self.along - np.sqrt(max(0.0, 1 - c * c)) * self.across - ROUNDING) | (self.along <= 0))
+        exact = cosines(self.raw[over], query)
+        at = np.flatnonzero(exact >= least)
+        at = at[best(exact[at], ids[over[at]], k)]
+        return over[at], exact[at]
+
+
 def _codes(shared):
     def run(batches):
         q = shared.value[0]
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)
-                packed = nibbles(q.encode(unit(_matrix(part.column(1)))))
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())], names=["n", "ids", "codes"])
+                c = Coded.of(q, _matrix(part.column(1)))
+                raw = (part.column(0).to_numpy().astype("<i8"), c.raw.astype("<f8"), c.codes, c.along.astype("<f8"), c.across.astype("<f8"))
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=["n", "ids", "vecs", "codes", "along", "across"])
 
     return run
 
@@ -138,48 +187,40 @@ def scores(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(shared, keep: int):
+def _scan(shared, keep: int, rerank: int):
     def run(batches):
         q = shared.value[0]
         for batch in batches:
             for r in range(batch.num_rows):
-                n, raw_ids, raw_codes, q_ids, q_vecs, q_least = (batch.column(k)[r].as_py() for k in range(6))
-                ids, codes = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw_codes, np.uint8).reshape(-1, n)
-                q_ids, q_least = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_least, "<f4")
-                q_vecs = np.frombuffer(q_vecs, "<f8").reshape(len(q_ids), -1)
+                n, *raw = (batch.column(k)[r].as_py() for k in range(9))
+                ids, vecs, codes, along, across, q_ids, q_vecs, q_least = (np.frombuffer(x, t) for x, t in zip(raw, ("<i8", "<f8", np.uint8, "<f8", "<f8", "<i8", "<f8", "<f8"), strict=True))
+                own = Coded(vecs.reshape(n, -1), codes.reshape(-1, n), along, across)
                 cols: list[list[np.ndarray]] = [[], [], []]
-                for qid, vec, least in zip(q_ids, q_vecs, q_least, strict=True):
-                    score = scores(q.tables(vec), codes)
-                    over = np.flatnonzero(score >= least)
-                    at = over[best(score[over], ids[over], keep)]
-                    for c, x in zip(cols, (np.full(len(at), qid), ids[at], score[at]), strict=True):
+                for qid, vec, least in zip(q_ids, q_vecs.reshape(len(q_ids), -1), q_least, strict=True):
+                    at, score = own.nearest(q, vec, ids, keep, rerank, least)
+                    for c, x in zip(cols, (np.full(len(at), qid), ids[at], score), strict=True):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["query_id", "vec_id", "approx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _exact(batches):
-    for batch in batches:
-        a, b = unit(_matrix(batch.column(2))), unit(_matrix(batch.column(3)))
-        raw_a, raw_b = _matrix(batch.column(2)), _matrix(batch.column(3))
-        score = (raw_a * raw_b).sum(1) / (np.sqrt((raw_a * raw_a).sum(1)) * np.sqrt((raw_b * raw_b).sum(1)))
-        odd = ~np.isfinite(score) | (np.abs(score) > 1.0001)  # squares out of range
-        score[odd] = (a[odd] * b[odd]).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-
-def _blocks(shared, rank: int):
-    """Blocks of queries: ids, unit vectors, and each one's rank-th best score on the sample's codes."""
+def _blocks(shared, keep: int, rerank: int):
+    """Blocks of queries: ids, vectors, and the cosine of each one's keep-th nearest in the sample."""
 
     def run(batches):
         q, sample = shared.value
+        ids = np.arange(len(sample.raw))
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK_QUERIES):
                 part = batch.slice(a, BLOCK_QUERIES)
-                vecs = unit(_matrix(part.column(1)))
-                least = np.array([np.partition(x := scores(q.tables(v), sample), len(x) - rank)[len(x) - rank] for v in vecs], "<f4")
-                raw = (part.column(0).to_numpy().astype("<i8"), vecs.astype("<f8"), least)
+                vecs = _matrix(part.column(1))
+                least = np.full(len(vecs), -1.0)
+                for k, v in enumerate(vecs):
+                    first = best(scores(q.tables(unit(v[None])[0]), sample.codes), ids, max(keep, rerank))
+                    if len(first) >= keep:
+                        least[k] = np.sort(cosines(sample.raw[first], v))[-keep]
+                raw = (part.column(0).to_numpy().astype("<i8"), vecs.astype("<f8"), least.astype("<f8"))
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=["q_ids", "q_vecs", "q_least"])
 
     return run
@@ -200,8 +241,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     is_query: a condition on the column vec_id. Equal vectors are coded and scanned once; of their ids
     the k + 1 smallest can be among the nearest, so a group of copies costs no more than they do. All
-    others are scanned, query block by query block, and a query's threshold from the bounded sample
-    lets about 1.5 ``rerank`` candidates pass, at least k + 1. Ties go to the smaller vec_id. A repeated
+    others are scanned, query block by query block; exact scores of the ``rerank`` best codes in the bounded
+    sample and in each chunk give the threshold from which on all are scored. Ties go to the smaller vec_id. A repeated
     vec_id stands for its first row by vector; rows that take no part are told in ``usable``. An empty
     table gives no row.
     """
@@ -214,26 +255,20 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow().column("vec")
     if not len(sample):
         return spark.createDataFrame([], schema)
-    x = unit(_matrix(sample.combine_chunks()))
-    quantiser = Quantiser.train(x)
-    q = spark.sparkContext.broadcast((quantiser, nibbles(quantiser.encode(x))))
-    rank = min(len(x), max(k + 1, -(-3 * rerank * len(x) // (2 * distinct.count())) if distinct.count() > len(x) else rerank))
+    x = _matrix(sample.combine_chunks())
+    quantiser = Quantiser.train(unit(x))
+    q = spark.sparkContext.broadcast((quantiser, Coded.of(quantiser, x)))
     asked = materialize(v.where(is_query).withColumnRenamed("vec_id", "query_id").join(distinct.select("vec", "vec_id"), "vec").select("query_id", "vec_id"))
     queries = distinct.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "vec")
-    codes = materialize(distinct.select("vec_id", "vec").mapInArrow(_codes(q), "n int, ids binary, codes binary"))
-    blocks = queries.coalesce(max(1, asked.count() // BLOCK_QUERIES)).mapInArrow(_blocks(q, rank), "q_ids binary, q_vecs binary, q_least binary")
+    codes = materialize(distinct.select("vec_id", "vec").mapInArrow(_codes(q), "n int, ids binary, vecs binary, codes binary, along binary, across binary"))
+    blocks = queries.coalesce(max(1, asked.count() // BLOCK_QUERIES)).mapInArrow(_blocks(q, k + 1, rerank), "q_ids binary, q_vecs binary, q_least binary")
     blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
     numbers = [r["block"] for r in blocks.select("block").collect()]
     if not numbers:
         return spark.createDataFrame([], schema)
     # Each chunk of codes meets each block of queries: the stated query set against all rows.
-    met = codes.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(blocks, "block").select("n", "ids", "codes", "q_ids", "q_vecs", "q_least")
-    found = met.mapInArrow(_scan(q, rerank), "query_id long, vec_id long, approx float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    near = materialize(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank).select("query_id", "vec_id"))
-    mine = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
-    pairs = near.join(distinct, "vec_id").join(mine, "query_id").select("query_id", "vec_id", "query", "vec")
-    scored = pairs.mapInArrow(_exact, "query_id long, vec_id long, score double")
+    met = codes.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(blocks, "block").select("n", "ids", "vecs", "codes", "along", "across", "q_ids", "q_vecs", "q_least")
+    scored = met.mapInArrow(_scan(q, k + 1, rerank), "query_id long, vec_id long, score double")
     # More vectors than k + 1 can't hold a nearest id: each of those before has a smaller one.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")

@@ -116,6 +116,20 @@ def test_vector_search(spark):
     assert len(few) == 2
 
 
+def test_nearest_among_thousands_of_near_copies(spark):
+    """A third of the vectors closer together than codes can tell: none of the nearest is lost."""
+    rng = np.random.default_rng(8)
+    centre = ann.unit(rng.normal(size=(1, 64)))
+    vectors = np.concatenate((ann.unit(rng.normal(size=(6000, 64))), centre + rng.normal(size=(3000, 64)) * rng.uniform(0.005, 0.02, (3000, 1))))[rng.permutation(9000)].astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(dict(enumerate(vectors.astype(float))))
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {x[0] for x in want[q]}) for q in want) == 5 * len(want)
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     x = ann.unit(np.random.default_rng(4).normal(size=(3000, 64)))
     q = ann.Quantiser.train(x)
