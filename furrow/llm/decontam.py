@@ -41,25 +41,30 @@ def build_index(docs: DataFrame) -> DataFrame:
     return materialize(keyed(docs, "doc_id").mapInArrow(_index, INDEX_SCHEMA))
 
 
+def named(items: set[str | None]) -> list[str | None]:
+    """In order, a null last."""
+    return sorted(items, key=lambda x: (x is None, x))
+
+
 class Windows:
     """The distinct windows of a block of items by their length: term numbers, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        found: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             n = min(size, len(ids))
             for a in range(len(ids) - n + 1) if n else ():
                 found.setdefault(n, {}).setdefault(tuple(ids[a : a + n]), set()).add(item)
-        self.by_size = [(n, np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for n, w in found.items()]
+        self.by_size = [(n, np.array(list(w), np.int64), [named(x) for x in w.values()]) for n, w in found.items()]
 
 
 def blocks(benchmark: DataFrame, size: int, limit: int):
-    """Windows of whole items, about limit words each. Null ids and texts without words have none."""
-    own: list[tuple[str, list[bytes]]] = []
+    """Windows of whole items, about limit words each. Texts without words have none; a null id is an item too."""
+    own: list[tuple[str | None, list[bytes]]] = []
     n = 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).dropna().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         words = byte_words(r[1])
         if words:
             own.append((r[0], words))
@@ -101,7 +106,7 @@ def _search(windows, all_docs: bool):
                     d = int(here.doc(a))
                     spans[d] += [int(a - begin[d]), int(b - begin[d])]
             keep = [d for d in range(n_docs) if all_docs or spans[d]]
-            cols = [[shard] * len(keep), keep, [ids[d] for d in keep], [int(s.ends[d] - begin[d]) for d in keep], [spans[d] for d in keep], [sorted(items[d]) for d in keep]]
+            cols = [[shard] * len(keep), keep, [ids[d] for d in keep], [int(s.ends[d] - begin[d]) for d in keep], [spans[d] for d in keep], [named(items[d]) for d in keep]]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "ord", "doc_id", "n_words", "spans", "items"])
 
@@ -150,7 +155,7 @@ def _places(windows, slop: int):
                 at, which = here.find(phrases, slop)
                 for a, d, w in zip(at.tolist(), here.doc(at).tolist(), which.tolist(), strict=True):
                     out.update((d, item, a - int(begin[d]), size) for item in names[w])
-            own = sorted(out)
+            own = sorted(out, key=lambda x: (x[0], x[1] is None, *x[1:]))
             cols = [[ids[x[0]] for x in own], [x[1] for x in own], [x[2] for x in own], [x[3] for x in own]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "start", "size"])
 
@@ -171,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
     A null or empty text has no words and is clean; so is all without a benchmark item. Repeated rows
-    each give a row; null doc_ids stay null.
+    each give a row; null doc_ids stay null. Items of a null id count as one, without a name.
     """
     found = search(build_index(docs), benchmark, window)
     n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.struct((acc["n"] + x.cast("long") * acc["s"]).alias("n"), (-acc["s"]).alias("s")))["n"]

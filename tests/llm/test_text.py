@@ -174,6 +174,22 @@ def test_contamination(spark, none):
     assert decontam.contamination(none, bench).count() == 0
 
 
+def test_items_without_an_id_contaminate_as_in_the_sql(spark):
+    duckdb, pa = pytest.importorskip("duckdb"), pytest.importorskip("pyarrow")
+    passage, other = prose("en", 14), prose("de", 12)
+    rows = [(1, f"x {passage} y"), (2, f"{other} {passage}"), (3, "clean"), (4, None), (5, other)]
+    items = [(None, passage), (None, passage + " more"), (7, other), (8, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(name, pa.Table.from_pylist([r.asDict() for r in df.collect()], pa.schema([(df.columns[0], pa.int64()), ("text", pa.string())])))
+    got = sorted(tuple(r) for r in decontam.contamination(docs, bench).collect())
+    assert got == sorted(con.execute(decontam.OP5_SQL).fetchall()) and [r[5] for r in got] == [True, True, False, False, True]
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {3, 4}
+    several = decontam.search(decontam.build_index(docs), bench, block_words=5)
+    assert {r["doc_id"]: len(r["items"]) for r in several.collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta x gamma delta"), (3, "alpha x y z beta gamma delta")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
