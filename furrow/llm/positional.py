@@ -18,7 +18,7 @@ from .common import slices
 #: Bytes of UTF-8 that part words; A-Z to lower case.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: (phrase, place) pairs that a search holds at a time.
-CANDIDATES = 2_000_000
+CANDIDATES = 500_000
 
 
 def byte_words(text: str | None) -> list[bytes]:
@@ -56,6 +56,22 @@ class Shard:
         lists = [self.postings[self.first[k] : self.first[k + 1]] for k in have]
         return Shard(list(vocabulary), np.concatenate(([0], np.cumsum(counts))), np.concatenate(lists) if lists else np.zeros(0, np.int32), self.ends)
 
+    def by_term(self) -> Shard:
+        """The same with terms in ascending order."""
+        order = sorted(range(len(self.terms)), key=self.terms.__getitem__)
+        lists = [self.postings[self.first[k] : self.first[k + 1]] for k in order]
+        first = np.concatenate(([0], np.cumsum(self.counts[order]))) if order else self.first
+        return Shard([self.terms[k] for k in order], first, np.concatenate(lists) if lists else self.postings, self.ends)
+
+    def documents(self) -> np.ndarray:
+        """In how many documents each term stands."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64)
+        doc = self.doc(self.postings)
+        begins = np.concatenate(([True], doc[1:] != doc[:-1]))
+        begins[self.first[:-1]] = True
+        return np.add.reduceat(begins, self.first[:-1], dtype=np.int64)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -64,16 +80,17 @@ class Shard:
         """The documents (from 0) of positions."""
         return np.searchsorted(self.ends, positions, "right")
 
-    def find(self, phrases: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, phrases: np.ndarray, slop: int = 0, frequency: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(start, phrase) of all places of phrases: rows of term numbers, all of one length.
 
         A term counts as in place if it stands within slop words of where the rarest term wants it;
-        start is then where the phrase would begin. A place lies in one document.
+        start is then where the phrase would begin. A place lies in one document. frequency: of each
+        term in the whole corpus, by which the rarest is told; without it the shard's own counts.
         """
         size = phrases.shape[1]
         n, lens = int(self.ends[-1]) if len(self.ends) else 0, self.counts
         live = np.flatnonzero((lens[phrases] > 0).all(axis=1)) if len(phrases) and n else np.zeros(0, np.int64)
-        order = np.argsort(lens[phrases[live]], axis=1, kind="stable")
+        order = np.argsort((lens if frequency is None else frequency)[phrases[live]], axis=1, kind="stable")
         anchors = phrases[live, order[:, 0]] if len(live) else np.zeros(0, np.int64)
         key = np.repeat(np.arange(len(lens)), lens) * (n + 1) + self.postings  # ascending: by term, then position
         starts, found = [], []

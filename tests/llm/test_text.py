@@ -190,6 +190,23 @@ def test_items_without_an_id_contaminate_as_in_the_sql(spark):
     assert {r["doc_id"]: len(r["items"]) for r in several.collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
 
 
+def test_index_rows_are_small_and_long_texts_are_found(spark, monkeypatch):
+    """One long text whose commonest word fills several rows, columns that clash, equal and null ids."""
+    passage = prose("fr", 12)
+    long = ("the " * 150_000) + passage + " the" * 20
+    rows = [(1, long, 0, "x", 7, "y"), (1, "clean words", 0, "x", 7, "y"), (None, passage, 0, "x", 7, "y"), (None, "clean too", 0, "x", 7, "y"), (2, None, 0, "x", 7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash long, term string, hit_id int, t string")
+    bench = spark.createDataFrame([(None, passage, "z"), (3, "the " * 30 + "absent", "z")], "item_id string, text string, hash string")
+    index = decontam.build_index(docs)
+    assert max(len(r["postings"]) for r in index.select("postings").collect()) == 4 * decontam.ROW_POSTINGS
+    assert index.where("term = cast('the' as binary)").agg({"docs": "sum"}).first()[0] == 1
+    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.contamination(docs, bench).collect()}
+    assert got[1, 150_032] == (150_032, 2, True)
+    assert got[None, 12] == (12, 1, True) and got[1, 2] == got[None, 2] == got[2, 0] == (0, 0, False)
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} == {"clean words", "clean too", None}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta x gamma delta"), (3, "alpha x y z beta gamma delta")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
