@@ -3,8 +3,9 @@
 The library spends most of its time on words it has met before. Here a text is cut at blanks where a
 pre-token ends whatever stands around, each chunk's ids are kept, and only chunks not met before
 reach the library: those of plain Latin letters, digits and ASCII signs word by word through the
-library's model, all others whole through its encoder. Ids equal those of ``Tokenizer.encode``;
-strings of special tokens are ordinary text.
+library's model, all others whole through its encoder. Ids equal those of ``Tokenizer.encode`` as the
+library is loaded: an added token's string in a text is that token. With ``special_as_text`` it is
+ordinary text, as with the library's ``encode_special_tokens``.
 """
 
 from __future__ import annotations
@@ -98,23 +99,44 @@ class _Chunks(_Cache):
 class Encoder:
     """encode(text) gives the ids of a whole text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-        t.encode_special_tokens = True
+        t.encode_special_tokens = special_as_text
         self.tokenizer, self.lowered = t, t.normalizer is not None
         kept = _Words(t.model)
         self.first = _Chunks(t, kept, "", self.lowered)
         self.rest = self.first if self.lowered else _Chunks(t, kept, " ", self.lowered)
+        added = {x.content: (i, x) for i, x in t.get_added_tokens_decoder().items() if not (special_as_text and x.special)}
+        self.added = {x: pack("<I", i) for x, (i, _) in added.items()}
+        self.plain = not any(x.lstrip or x.rstrip or x.single_word or x.normalized for _, x in added.values())
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).finditer
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added) or not self.plain:
+            return self.between(text) if self.plain else self.whole(text)
+        return self.own(text)
+
+    def between(self, text: str) -> bytes:
+        """A text that holds added tokens: what stands between them is encoded by itself."""
+        out, end = [], 0
+        for m in self.cut(text):
+            out += [self.own(text[end : m.start()]), self.added[m[0]]]
+            end = m.end()
+        return b"".join(out) + self.own(text[end:])
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def own(self, text: str) -> bytes:
+        """A text without added tokens."""
         if self.lowered:  # white space is dropped: any blank or line end parts two pre-tokens
             return b"".join(map(self.rest.__getitem__, text.replace("\n", " ").split(" ")))
         # A blank after or before something else begins a pre-token; one between others may not.
         if BETWEEN_BLANKS.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         first, *rest = text.split(" ")
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 

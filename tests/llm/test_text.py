@@ -31,7 +31,7 @@ ROWS = [
     (6, "Tel +1 (415) 555-0134, card 4111 1111 1111 1111, host 10.0.0.256 or 10.0.0.25 then x@y.org", "en"),
     (6, "Tel +1 (415) 555-0134, card 4111 1111 1111 1111, host 10.0.0.256 or 10.0.0.25 then x@y.org", "en"),
     (7, "This work is licensed under the GNU General Public License, version 3.", "en"),
-    (8, "a  b   c\n\n d日本語 e\x1cf", None),
+    (8, "a  b   c\n\n d日本語 e\x1cf", None), (9, "end <|endoftext|> and<|startoftext|>begin", "en"),
     *((100 + k, prose(lang, 30), lang) for k, lang in enumerate(["en", "de", "fr"] * 40)),
     (900, prose("en", 9000), "en"),
 ]
@@ -48,19 +48,20 @@ def none(spark):
 
 
 def ids_of(text, name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
-    own, alphabet = Encoder(name), "ab Zé\n\t  's'll 12,.!?ßḈ 日\x1c\x85µİς"
+    alphabet = "ab Zé\n\t  's'll 12,.!?ßḈ 日\x1c\x85µİς"
     texts = ["".join(RNG.choices(alphabet, k=RNG.randint(0, 30))) for _ in range(1500)] + [r[1] or "" for r in ROWS] + ["x<|endoftext|>y", "I'LL he's"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "e", "é", "a b"]
+    texts += ["".join(RNG.choices(parts, k=RNG.randint(1, 8))) for _ in range(1500)]
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    for text in texts * 2:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for as_text in (False, True):
+        own, t.encode_special_tokens = Encoder(name, as_text), as_text
+        for text in texts * 2:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("bits", [8, 5, 1])
