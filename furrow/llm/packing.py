@@ -3,14 +3,16 @@
 Pieces are dealt into groups by a hash of their key. Each group is packed best-fit decreasing; then
 the local search takes the underfull bins, least filled first, and lets each give: a piece to a
 fuller bin, a piece for a smaller one, one for two, or two for one. A step is taken only if it raises
-the sum of squared fills; a bin that has given everything is gone. What is left underfull in all
-groups is dealt and packed once more, so groups cost at most a few bins in all.
+the sum of squared fills, and the search ends when no bin can take one; a bin that has given
+everything is gone. What is left underfull in all groups is dealt and packed once more, so groups
+cost at most a few bins in all.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -24,8 +26,6 @@ from .tokens import encoder
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Pieces in a packing group: what one task holds (some 40 bytes each).
 GROUP_PIECES = 65_536
-#: Donors in a row that can't give before the local search ends.
-PATIENCE = 200
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, fill long"
@@ -55,77 +55,124 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Bins of indices into lengths; run() changes them in place."""
+    """Bins of indices into lengths; run() exchanges pieces until no step raises the sum of squared fills.
+
+    A donor gives to bins that are at least as full. For every length, the most room of a bin with a
+    piece (kind 0) or two pieces (kind 1) of that length is kept up to date, so a donor's steps are
+    looked up, and that there is none is known without a search of the bins.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
-        self.items = np.array([i for b in bins for i in b], np.int64)
-        self.length = lengths[self.items].astype(np.int64)
-        self.home = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        self.fill = np.bincount(self.home, self.length, len(bins)).astype(np.int64)
         self.capacity = capacity
+        self.bins: list[defaultdict[int, list[int]]] = []
+        for b in bins:
+            own: defaultdict[int, list[int]] = defaultdict(list)
+            for i in b:
+                own[int(lengths[i])].append(i)
+            self.bins.append(own)
+        self.fill = [int(lengths[b].sum()) for b in bins]
+        self.turn = [0] * len(bins)
+
+    def sums(self, b: int) -> tuple[set[int], set[int]]:
+        """Lengths of a piece and of two pieces in bin b."""
+        own = self.bins[b]
+        return set(own), {x + y for x, y in combinations(own, 2)} | {2 * x for x, i in own.items() if len(i) > 1}
+
+    def enter(self, b: int) -> None:
+        """Bin b can receive from now on."""
+        gap, self.known = self.capacity - self.fill[b], [None, None]
+        if not gap:
+            return
+        self.by_gap[gap].add(b)
+        self.gaps |= 1 << gap
+        heappush(self.least, (self.fill[b], b, self.turn[b]))
+        for kind, sums in enumerate(self.sums(b)):
+            for n in sums:
+                heappush(self.rooms[kind][n], (-gap, b, self.turn[b]))
+                self.reach[kind][n] = max(self.reach[kind][n], n + gap)
+
+    def leave(self, b: int) -> None:
+        gap, self.known = self.capacity - self.fill[b], [None, None]
+        self.turn[b] += 1
+        self.by_gap[gap].discard(b)
+        if not self.by_gap[gap]:
+            self.gaps &= ~(1 << gap)
+        for kind, sums in enumerate(self.sums(b)):
+            for n in sums:
+                heap = self.rooms[kind][n]
+                while heap and self.turn[heap[0][1]] != heap[0][2]:
+                    heappop(heap)
+                self.reach[kind][n] = n - heap[0][0] if heap else 0
+
+    def taken(self, kind: int) -> np.ndarray:
+        """Which lengths some bin takes for a shorter piece or two."""
+        if self.known[kind] is None:
+            n = np.flatnonzero(self.reach[kind])
+            edge = np.bincount(n + 1, minlength=self.capacity + 2) - np.bincount(self.reach[kind][n] + 1, minlength=self.capacity + 2)
+            self.known[kind] = np.cumsum(edge) > 0
+        return self.known[kind]
 
     def shift(self, give: list[int], take: list[int], donor: int, to: int) -> None:
-        self.home[give], self.home[take] = to, donor
-        moved = int(self.length[give].sum() - self.length[take].sum())
-        self.fill[donor] -= moved
-        self.fill[to] += moved
+        """Pieces of the lengths ``give`` for pieces of the lengths ``take``; the donor can't receive just now."""
+        self.leave(to)
+        for some, a, b in ((give, donor, to), (take, to, donor)):
+            for n in some:
+                self.bins[b][n].append(self.bins[a][n].pop())
+                if not self.bins[a][n]:
+                    del self.bins[a][n]
+                self.fill[a] -= n
+                self.fill[b] += n
+        self.enter(to)
 
     def give(self, donor: int) -> bool:
-        """One improving step of the donor, the one that moves the most of its fill for its kind."""
-        gap = np.where((self.fill >= self.fill[donor]) & (np.arange(len(self.fill)) != donor), self.capacity - self.fill, 0)
-        own = np.flatnonzero(self.home == donor)
-        own = own[np.argsort(-self.length[own], kind="stable")]
-        own = own[np.unique(-self.length[own], return_index=True)[1]]  # one of each length, longest first
-        for x in own:  # move
-            fits = np.flatnonzero(gap >= self.length[x])
-            if len(fits):
-                self.shift([x], [], donor, int(fits[np.argmin(gap[fits])]))
-                return True
-        room = gap[self.home]
-        for x in own:  # one for one
-            if (y := self.partner(int(self.length[x]), room)) is not None:
-                self.shift([x], [y], donor, int(self.home[y]))
-                return True
-        for a, b in list(combinations(own.tolist(), 2))[:64]:  # two for one
-            if (y := self.partner(int(self.length[a] + self.length[b]), room)) is not None:
-                self.shift([a, b], [y], donor, int(self.home[y]))
+        """One improving step of the donor: of the first kind that there is, the one that moves the most."""
+        own = sorted(self.bins[donor], reverse=True)
+        for x in own:  # move, to the bin of the least sufficient gap
+            if fits := self.gaps >> x:
+                to = min(self.by_gap[x + (fits & -fits).bit_length() - 1])
+                self.shift([x], [], donor, to)
                 return True
-        key = self.home * (self.capacity + 1) + self.length
-        order = np.argsort(key, kind="stable")
-        for x in own[:8]:  # one for two
-            want = int(self.length[x]) - 1 - self.length
-            at = np.searchsorted(key[order], self.home * (self.capacity + 1) + want, "right") - 1
-            y = order[np.maximum(at, 0)]
-            both = self.length + self.length[y]
-            good = (want > 0) & (at >= 0) & (self.home[y] == self.home) & (y != np.arange(len(y))) & (both >= self.length[x] - room) & (room > 0)
-            if good.any():
-                a = int(np.flatnonzero(good)[np.argmin(both[good])])
-                self.shift([x], [a, int(y[a])], donor, int(self.home[a]))
+        pairs = [[x, x] for x in own if len(self.bins[donor][x]) > 1] + [list(p) for p in combinations(own, 2)]
+        for kind, offers in ((0, [[x] for x in own]), (0, pairs), (1, [[x] for x in own])):
+            taken, best = self.taken(kind), (0, 0, [])
+            for offer in offers:
+                n = sum(offer)
+                if n <= self.capacity and taken[n]:
+                    least = int((self.reach[kind][:n] >= n).argmax())
+                    best = max(best, (n - least, least, offer))
+            if best[0]:
+                _, least, offer = best
+                to = self.rooms[kind][least][0][1]
+                self.shift(offer, self.parted(to, least) if kind else [least], donor, to)
                 return True
         return False
 
-    def partner(self, length: int, room: np.ndarray) -> int | None:
-        """The shortest piece elsewhere whose bin can hold this length in its stead."""
-        good = np.flatnonzero((self.length < length) & (self.length >= length - room) & (room > 0))
-        return int(good[np.argmin(self.length[good])]) if len(good) else None
-
-    def run(self, patience: int = PATIENCE) -> list[list[int]]:
-        failed = 0
-        done: set[int] = set()
-        while failed < patience:
-            left = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            left = [b for b in left[np.argsort(self.fill[left], kind="stable")].tolist() if b not in done]
-            if not left:
-                break
-            if self.give(left[0]):
-                failed = 0
-            else:
-                failed += 1
-                done.add(left[0])
-        out = defaultdict(list)
-        for i, b in zip(self.items.tolist(), self.home.tolist(), strict=True):
-            out[b].append(i)
-        return list(out.values())
+    def parted(self, b: int, n: int) -> list[int]:
+        """Two lengths of bin b that add up to n."""
+        own = self.bins[b]
+        return next([x, n - x] for x in sorted(own) if n - x in own and (2 * x != n or len(own[x]) > 1))
+
+    def sweep(self) -> bool:
+        """Lets every underfull bin, least filled first, give what it can; whether any could."""
+        self.by_gap: list[set[int]] = [set() for _ in range(self.capacity + 1)]
+        self.rooms = (defaultdict(list), defaultdict(list))
+        self.reach = np.zeros((2, self.capacity + 1), np.int64)
+        self.gaps, self.least, self.known, gave = 0, [], [None, None], False
+        for b, n in enumerate(self.fill):
+            if n:
+                self.enter(b)
+        while self.least:
+            _, b, turn = heappop(self.least)
+            if self.turn[b] == turn:
+                self.leave(b)
+                while self.fill[b] and self.give(b):
+                    gave = True
+        return gave
+
+    def run(self) -> list[list[int]]:
+        while self.sweep():
+            pass
+        return [[i for own in b.values() for i in own] for b, n in zip(self.bins, self.fill, strict=True) if n]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:

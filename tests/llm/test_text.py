@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -125,6 +126,21 @@ def test_local_search_only_moves_and_empties_bins():
     assert len(search.run()) == 2  # 40 goes for 20 beside 60, 20 then beside 50 and 30
 
 
+def test_no_step_is_left_at_the_end_of_the_local_search():
+    rng = np.random.default_rng(9)
+    for low, high, n in ((20, 50, 60), (15, 35, 80), (30, 70, 40), (1, 60, 40)):
+        lengths = rng.integers(low, high + 1, n)
+        bins = packing.LocalSearch(packing.best_fit_decreasing(lengths, 100), lengths, 100).run()
+        some = lambda b, k: {sum(lengths[list(c)]) for c in combinations(b, k)}
+        full = sorted((int(lengths[b].sum()), k) for k, b in enumerate(bins))
+        for i, (_, a) in enumerate(full):
+            for fill, b in full[i + 1 :]:
+                if fill < 100:
+                    assert min(some(bins[a], 1)) > 100 - fill
+                    for give, take in ((1, 1), (2, 1), (1, 2)):
+                        assert not any(0 < x - y <= 100 - fill for x in some(bins[a], give) for y in some(bins[b], take))
+
+
 def test_phrases_by_position():
     vocab = ["the", "a", "b", "É", "w1"]
     texts = [" ".join(RNG.choices(vocab, k=RNG.randint(0, 40))) for _ in range(150)] + [None, ""]
