@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, shared_dir, table
 
-#: Rows the codebook is trained on at most, those of the least hash; passes of training and coding.
-TRAIN_ROWS, TRAIN_PASSES, CODE_PASSES = 20_000, 8, 2
+#: Rows (and bytes) the codebook is trained on at most, those of the least hash; passes of training and coding.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_PASSES, CODE_PASSES = 20_000, 32_000_000, 8, 2
 #: Weight of the parallel residual comes from this share of the largest score.
 THRESHOLD = 0.2
-#: Best codes that are scored exactly to begin with, for what a query has for certain; queries of a block;
-#: vectors scanned at a time; what sums of table entries may be off by.
-RERANK, BLOCK_QUERIES, CHUNK, ROUNDING = 200, 4096, 8192, 1e-5
+#: Best codes that are scored exactly to begin with, for what a query has for certain; bytes of a block of
+#: queries; vectors scanned at a time; what sums of table entries may be off by.
+RERANK, BLOCK_BYTES, CHUNK, ROUNDING = 200, 16_000_000, 8192, 1e-5
 WIDTH, CENTRES = 2, 16
 
 
@@ -152,19 +152,23 @@ class Coded:
         grows with c from zero on: a lower score shows that the cosine is below c.
         """
         score = scores(q.tables(unit(query[None])[0]), self.codes)
-        first = best(score, ids, max(k, rerank))
-        exact = cosines(self.raw[first], query)
-        if len(exact) >= k:
+        over = self.within(score, least)
+        if len(over) > 2 * max(k, rerank):  # the best codes first, for a higher threshold
+            exact = cosines(self.raw[best(score, ids, max(k, rerank))], query)
             least = max(least, np.partition(exact, len(exact) - k)[len(exact) - k])
-        over = np.arange(len(ids))
-        if least > ROUNDING:
-            c = least - ROUNDING
-            over = np.flatnonzero((score >= c * self.along - np.sqrt(max(0.0, 1 - c * c)) * self.across - ROUNDING) | (self.along <= 0))
+            over = self.within(score, least)
         exact = cosines(self.raw[over], query)
         at = np.flatnonzero(exact >= least)
         at = at[best(exact[at], ids[over[at]], k)]
         return over[at], exact[at]
 
+    def within(self, score: np.ndarray, least: float) -> np.ndarray:
+        """Places of the vectors whose cosine may reach least."""
+        if least <= ROUNDING:
+            return np.arange(len(score))
+        c = least - ROUNDING
+        return np.flatnonzero((score >= c * self.along - np.sqrt(max(0.0, 1 - c * c)) * self.across - ROUNDING) | (self.along <= 0))
+
 
 def _codes(shared):
     def run(batches):
@@ -172,9 +176,9 @@ def _codes(shared):
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)
-                c = Coded.of(q, _matrix(part.column(1)))
-                raw = (part.column(0).to_numpy().astype("<i8"), c.raw.astype("<f8"), c.codes, c.along.astype("<f8"), c.across.astype("<f8"))
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=["n", "ids", "vecs", "codes", "along", "across"])
+                c = Coded.of(q, _matrix(part.column(2)))
+                cols = [*part.columns, pa.array([x.tobytes() for x in c.codes.T], pa.binary()), pa.array(c.along), pa.array(c.across)]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "vec_id", "vec", "code", "along", "across"])
 
     return run
 
@@ -187,33 +191,48 @@ def scores(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(shared, keep: int, rerank: int):
+def _scan(shared, asked, keep: int, rerank: int):
+    """Each query's keep nearest of a task's vectors; what it has by then is the threshold for the next chunk."""
+
     def run(batches):
-        q = shared.value[0]
+        q, (queries, vecs, known) = shared.value[0], asked.value
+        least = known.copy()
+        groups, ids = np.zeros((2, len(queries), keep), np.int64)
+        top, n = np.full((len(queries), keep), -np.inf), np.zeros(len(queries), np.int64)
         for batch in batches:
-            for r in range(batch.num_rows):
-                n, *raw = (batch.column(k)[r].as_py() for k in range(9))
-                ids, vecs, codes, along, across, q_ids, q_vecs, q_least = (np.frombuffer(x, t) for x, t in zip(raw, ("<i8", "<f8", np.uint8, "<f8", "<f8", "<i8", "<f8", "<f8"), strict=True))
-                own = Coded(vecs.reshape(n, -1), codes.reshape(-1, n), along, across)
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for qid, vec, least in zip(q_ids, q_vecs.reshape(len(q_ids), -1), q_least, strict=True):
-                    at, score = own.nearest(q, vec, ids, keep, rerank, least)
-                    for c, x in zip(cols, (np.full(len(at), qid), ids[at], score), strict=True):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["query_id", "vec_id", "score"])
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                g, vec_id, along, across = (part.column(c).to_numpy() for c in (0, 1, 4, 5))
+                codes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(g), -1)
+                own = Coded(_matrix(part.column(2)), np.ascontiguousarray(codes.T), along, across)
+                for k, vec in enumerate(vecs):
+                    at, score = own.nearest(q, vec, vec_id, keep, rerank, least[k])
+                    if len(at):
+                        all_of = [np.concatenate((x[k, : n[k]], y)) for x, y in ((top, score), (ids, vec_id[at]), (groups, g[at]))]
+                        order = best(all_of[0], all_of[1], keep)
+                        n[k] = len(order)
+                        for x, y in zip((top, ids, groups), all_of, strict=True):
+                            x[k, : n[k]] = y[order]
+                        if n[k] == keep:
+                            least[k] = max(least[k], top[k, -1])
+        have = np.arange(keep) < n[:, None]
+        cols = np.repeat(queries, n), groups[have], ids[have], top[have]
+        for a in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in cols], names=["query", "g", "vec_id", "score"])
 
     return run
 
 
 def _blocks(shared, keep: int, rerank: int):
-    """Blocks of queries: ids, vectors, and the cosine of each one's keep-th nearest in the sample."""
+    """Blocks of queries: groups, vectors, and the cosine of each one's keep-th nearest in the sample."""
 
     def run(batches):
         q, sample = shared.value
         ids = np.arange(len(sample.raw))
+        size = max(1, BLOCK_BYTES // (8 * sample.raw.shape[1]))
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK_QUERIES):
-                part = batch.slice(a, BLOCK_QUERIES)
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
                 vecs = _matrix(part.column(1))
                 least = np.full(len(vecs), -1.0)
                 for k, v in enumerate(vecs):
@@ -221,60 +240,69 @@ def _blocks(shared, keep: int, rerank: int):
                     if len(first) >= keep:
                         least[k] = np.sort(cosines(sample.raw[first], v))[-keep]
                 raw = (part.column(0).to_numpy().astype("<i8"), vecs.astype("<f8"), least.astype("<f8"))
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=["q_ids", "q_vecs", "q_least"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], names=["queries", "vecs", "least"])
 
     return run
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and vec of the rows that take part: no null id, a non-zero vector of finite numbers,
-    of the most frequent length (the shortest such if several are as frequent)."""
+    """vec_id, vec and row, a key of its own, of the rows that take part: no null id, a non-zero vector of
+    finite numbers."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(finite & F.exists("vec", lambda x: x != 0))
-    top = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.where(F.size("vec") == (top["n"] if top else 0))
+    return v.where(finite & F.exists("vec", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id())
+
+
+RESULT_SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query row, itself left out.
-
-    is_query: a condition on the column vec_id. Equal vectors are coded and scanned once; of their ids
-    the k + 1 smallest can be among the nearest, so a group of copies costs no more than they do. All
-    others are scanned, query block by query block; exact scores of the ``rerank`` best codes in the bounded
-    sample and in each chunk give the threshold from which on all are scored. Ties go to the smaller vec_id. A repeated
-    vec_id stands for its first row by vector; rows that take no part are told in ``usable``. An empty
-    table gives no row.
+    """query_id, rank, vec_id, score: the k nearest of each query row among all rows but itself.
+
+    is_query: a condition on the column vec_id. Rows count as they stand: of a repeated vec_id each row is
+    a query and a candidate of its own. Equal vectors are coded and scanned once; of their rows the k + 1
+    of the smallest ids can be among the nearest, so a group of copies costs no more than they do. A
+    block of queries at a time goes to all codes, where they lie; a task's best so far and those of the
+    bounded sample give the threshold from which on vectors are scored exactly. Ties go to the smaller
+    vec_id. Vectors of different lengths have no cosine: each length is searched by itself. Rows that take
+    no part are told in ``usable``. An empty table gives no row.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    v = materialize(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    few = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    copies = v.withColumn("r", few).where(F.col("r") <= k + 1).groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids"))
-    distinct = materialize(copies.select("vec_id", "vec", "ids"))
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow().column("vec")
-    if not len(sample):
-        return spark.createDataFrame([], schema)
+    v = materialize(usable(vectors, id_col, vec_col))
+    lengths = [r["n"] for r in v.where(is_query).select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    out = v.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    for n in lengths:
+        out = out.union(_of_length(v.where(F.size("vec") == n), n, is_query, k, rerank))
+    return out
+
+
+def _of_length(v: DataFrame, dim: int, is_query, k: int, rerank: int) -> DataFrame:
+    spark = v.sparkSession
+    few = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id", "row"))
+    named = F.struct("vec_id", "row")
+    copies = v.withColumn("r", few).where(F.col("r") <= k + 1).groupBy("vec").agg(F.min(named).alias("least"), F.collect_list(named).alias("rows"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the scan is all work and no data: one file a task
+    distinct = materialize(copies.select(F.col("least.row").alias("g"), F.col("least.vec_id").alias("vec_id"), "vec", "rows").repartition(n_parts, "g"))
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", "g").limit(max(k + 1, min(TRAIN_ROWS, TRAIN_BYTES // (8 * dim)))).select("vec").toArrow().column("vec")
     x = _matrix(sample.combine_chunks())
     quantiser = Quantiser.train(unit(x))
     q = spark.sparkContext.broadcast((quantiser, Coded.of(quantiser, x)))
-    asked = materialize(v.where(is_query).withColumnRenamed("vec_id", "query_id").join(distinct.select("vec", "vec_id"), "vec").select("query_id", "vec_id"))
-    queries = distinct.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "vec")
-    codes = materialize(distinct.select("vec_id", "vec").mapInArrow(_codes(q), "n int, ids binary, vecs binary, codes binary, along binary, across binary"))
-    blocks = queries.coalesce(max(1, asked.count() // BLOCK_QUERIES)).mapInArrow(_blocks(q, k + 1, rerank), "q_ids binary, q_vecs binary, q_least binary")
-    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
-    numbers = [r["block"] for r in blocks.select("block").collect()]
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    # Each chunk of codes meets each block of queries: the stated query set against all rows.
-    met = codes.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(blocks, "block").select("n", "ids", "vecs", "codes", "along", "across", "q_ids", "q_vecs", "q_least")
-    scored = met.mapInArrow(_scan(q, k + 1, rerank), "query_id long, vec_id long, score double")
-    # More vectors than k + 1 can't hold a nearest id: each of those before has a smaller one.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-    named = top.join(distinct.select("vec_id", "ids"), "vec_id").select(F.col("query_id").alias("vec_id"), "score", "ids")
-    each = asked.join(named, "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = materialize(v.where(is_query).select("vec", F.col("vec_id").alias("query_id"), F.col("row").alias("query_row")).join(distinct.select("vec", "g"), "vec").select("query_id", "query_row", F.col("g").alias("query")))
+    queries = distinct.join(asked.select(F.col("query").alias("g")).distinct(), "g", "left_semi").select("g", "vec")
+    codes = materialize(distinct.select("g", "vec_id", "vec").mapInArrow(_codes(q), "g long, vec_id long, vec array<double>, code binary, along double, across double"))
+    blocks = materialize(queries.coalesce(max(1, 8 * dim * asked.count() // BLOCK_BYTES)).mapInArrow(_blocks(q, k + 1, rerank), "queries binary, vecs binary, least binary"))
+    # Each block of queries meets all codes: the stated query set against all rows. More groups than k + 1
+    # can't hold a nearest row: each of those before has one of a smaller id.
+    order, found = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "g"), []
+    for r in blocks.toLocalIterator():
+        block = spark.sparkContext.broadcast((np.frombuffer(r["queries"], "<i8"), np.frombuffer(r["vecs"], "<f8").reshape(-1, dim), np.frombuffer(r["least"], "<f8")))
+        scored = codes.mapInArrow(_scan(q, block, k + 1, rerank), "query long, g long, vec_id long, score double")
+        found.append(shared_dir(spark))
+        scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("query", "g", "score").write.parquet(found[-1])
+        block.unpersist()
+    top = spark.read.schema("query long, g long, score double").parquet(*found)
+    near = top.join(distinct.select("g", "rows"), "g").select("query", "score", F.explode("rows").alias("x"))
+    each = asked.join(near, "query").where(F.col("x.row") != F.col("query_row")).select("query_id", "query_row", "score", "x.vec_id", "x.row")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

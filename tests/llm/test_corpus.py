@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -116,6 +117,27 @@ def test_vector_search(spark):
     assert len(few) == 2
 
 
+def test_every_row_is_a_candidate(spark):
+    """Repeated ids with other vectors, whole rows repeated, several lengths, clusters in 64 dimensions."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 64))
+    rows = [(int(i), (centres[rng.integers(20)] + rng.normal(size=64) * rng.choice([0.01, 0.1, 0.5])).astype(np.float32).tolist()) for i in rng.integers(0, 700, 1500)]
+    rows += rows[:200] + [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in rng.integers(0, 200, 60)] + [(50, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got, want = Counter(), Counter()
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)] += 1
+    for n in (64, 8, 2):
+        ids, v = zip(*[(i, x) for i, x in rows if len(x) == n], strict=True)
+        v = np.array(v, float)
+        cos = v @ v.T / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((v * v).sum(1))
+        for a, i in enumerate(ids):
+            if i % 50 == 0:
+                order = [b for b in sorted(range(len(ids)), key=lambda b: (-round(cos[a, b], 12), ids[b])) if b != a][:5]  # noqa: B023
+                want.update((i, k + 1, ids[b], round(cos[a, b], 9)) for k, b in enumerate(order))
+    assert got == want
+
+
 def test_nearest_among_thousands_of_near_copies(spark):
     """A third of the vectors closer together than codes can tell: none of the nearest is lost."""
     rng = np.random.default_rng(8)
