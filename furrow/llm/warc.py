@@ -1,15 +1,17 @@
 """WARC archives and their capture index.
 
-Archives are written by Spark's text sink: a record is one value and the line separator is the blank
-that ends a record, so each file is a gzip-compressed WARC file. Reading parses every record again
-and gives, per archive, a run of captures sorted by URL key and timestamp. Runs are cut by ranges of
-that key and each range is merged by a loser tree over its runs, which puts all captures in order.
+Records are built in the JVM, compressed one gzip member each and gathered into archives of bounded
+size; Spark's text sink writes each archive to a file of its own, so any store that Spark reaches holds
+plain ``.warc.gz`` bytes and a capture's offset and length lead straight to its member. Reading inflates
+member by member and gives, per archive, a run of captures sorted by URL key and timestamp. Runs are
+cut by ranges of bounded size of that key and each range is merged by a loser tree over its runs, of
+which each is read a slice at a time.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -18,11 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import large, materialize, shared_dir, table
 
-#: Payloads of fewer bytes are always stored; records in an archive file.
-LEAST_BYTES, FILE_RECORDS = 1000, 4000
+#: Payloads of fewer bytes are always stored.
+LEAST_BYTES = 1000
+#: Compressed bytes at which an archive closes; a larger record stands alone. Captures in a range of the
+#: merge; those of a run that are Python objects at a time. Parts that a digest's copies are dealt to.
+ARCHIVE_BYTES, RANGE_CAPTURES, SLICE, SALTS = 16_000_000, 200_000, 256, 16
 END = "\r\n\r\n"
+#: An empty gzip member ends an archive, as its last byte, a zero, is the text sink's line separator.
+LAST_MEMBER = zlib.compressobj(6, wbits=31).flush()
 CAPTURE_SCHEMA = "run string, seq long, url_key string, timestamp string, url string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, offset long, length long"
 CAPTURE_COLS = [x.split(" ")[0] for x in CAPTURE_SCHEMA.split(", ")]
 
@@ -47,9 +54,13 @@ def records(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     p = p.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    # Only keys move to find the winners; payloads once, to meet them.
-    first = p.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "winner")
-    p = p.join(first, "digest", "left")
+    # Only keys move to find the winners; payloads that may have copies once, to meet them, a digest's in
+    # several parts; small ones stay where they are.
+    some, few = p.where(F.col("n") >= LEAST_BYTES), p.where(F.col("n") < LEAST_BYTES)
+    first = some.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1")
+    first = first.select("digest", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    some = some.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
+    p = some.select("page_id", "url", "html", "n", "digest", "winner").union(few.select("page_id", "url", "html", "n", "digest", F.lit(None).cast("long")))
     revisit = F.coalesce((F.col("n") >= LEAST_BYTES) & F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, F.lit("HTTP/1.1 200 OK" + END)).otherwise(F.concat(http, F.col("html")))
@@ -76,8 +87,40 @@ def records(pages: DataFrame) -> DataFrame:
     return p.select(value.alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def member(record: bytes) -> bytes:
+    c = zlib.compressobj(6, wbits=31)
+    return c.compress(record) + c.flush()
+
+
+def _archives(size: int):
+    def run(batches):
+        large()
+        out, n = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                out.append(member(memoryview(record.as_buffer())))
+                n += len(out[-1])
+                if n >= size:
+                    yield _archive(out)
+                    out, n = [], 0
+        if out:
+            yield _archive(out)
+
+    return run
+
+
+def _archive(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join((*members, LAST_MEMBER[:-1]))], pa.binary())], names=["value"])
+
+
+def write_archives(pages: DataFrame, path: str, size: int = ARCHIVE_BYTES) -> None:
+    """Write the records of pages to archives at path, one gzip member a record.
+
+    A file closes at ``size`` compressed bytes. An empty table gives no archive.
+    """
+    value = records(pages).select((F.concat("value", F.lit(END))).cast("binary").alias("value"))
+    archives = value.mapInArrow(_archives(size), "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -92,29 +135,49 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
-    """(headers, offset, length, block) of each record of an uncompressed WARC file."""
-    at = 0
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member."""
+    at, view, step = 0, memoryview(raw), 1 << 14
     while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
-        stop = end + 4 + int(head["Content-Length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield head, at, stop + 4 - at, raw[end + 4 : stop]
-        at = stop + 4
+        d, out, end = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if end >= len(raw):
+                raise ValueError(f"the member at byte {at} doesn't end")
+            out.append(d.decompress(view[end : end + step]))
+            end += len(view[end : end + step])
+        end -= len(d.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
+
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """headers and block of a WARC record."""
+    end = record.index(b"\r\n\r\n")
+    version, *lines = record[:end].decode("utf-8", "surrogateescape").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    head = dict(line.split(": ", 1) for line in lines)
+    stop = end + 4 + int(head["Content-Length"])
+    if record[stop:] != b"\r\n\r\n":
+        raise ValueError("the record doesn't end where its length says")
+    return head, record[end + 4 : stop]
+
+
+def read_record(raw: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """headers and block of the capture at a place of an archive, by its member alone."""
+    return parse(zlib.decompress(raw[offset : offset + length], 31))
 
 
 def captures(raw: bytes, name: str) -> list[tuple]:
     """The archive's captures, sorted by URL key, timestamp and page."""
     out = []
-    for head, at, length, block in parse(raw):
+    for at, length, record in members(raw):
+        if not record:
+            continue
+        head, block = parse(record)
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         if head["WARC-Type"] == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
             n = len(payload)
             if hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"{name}: the payload at byte {at} doesn't have its digest")
@@ -138,9 +201,10 @@ def arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _read(batches):
+    large()
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield arrow(captures(gzip.decompress(raw.as_py()), path.rsplit("/", 1)[-1]))
+            yield arrow(captures(raw.as_buffer().to_pybytes(), path.rsplit("/", 1)[-1]))
 
 
 class LoserTree:
@@ -181,18 +245,31 @@ class LoserTree:
             self.loser[0] = r
 
 
+def _sliced(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run, a slice of Python objects at a time."""
+    for part in parts:
+        for a in range(0, part.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in part.slice(a, SLICE).columns), strict=True)
+
+
 def _merge(batches):
-    """Captures of one range in order, from rows sorted by run and place in it."""
-    runs: list[list[tuple]] = []
+    """Captures of one range in order, from rows sorted by run and place in it. The range stays in Arrow."""
+    large()
+    runs: list[list[pa.RecordBatch]] = []
     name = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != name:
-                name = row[0]
+        run = batch.column(0).dictionary_encode()
+        codes, names = run.indices.to_numpy(), run.dictionary.to_pylist()
+        edges = [0, *(codes[1:] != codes[:-1]).nonzero()[0] + 1, batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if names[codes[a]] != name:
+                name = names[codes[a]]
                 runs.append([])
-            runs[-1].append(row)
+            runs[-1].append(batch.slice(a, b - a))
     part, out, k = TaskContext.get().partitionId(), [], 0
-    for row in LoserTree(runs, lambda x: capture_key(x[2:])):
+    for row in LoserTree(map(_sliced, runs), lambda x: capture_key(x[2:])):
         out.append((row[0], (part << 40) + k, *row[2:]))
         k += 1
         if len(out) == 10_000:
@@ -201,13 +278,14 @@ def _merge(batches):
     yield arrow(out)
 
 
-def capture_index(spark, path: str) -> DataFrame:
+def capture_index(spark, path: str, range_captures: int = RANGE_CAPTURES) -> DataFrame:
     """All captures of the archives at path: CAPTURE_SCHEMA, where ascending seq is the global order of
-    URL key, timestamp and page. Nulls come first; equal captures stand in the order of their archives."""
+    URL key, timestamp and page. Nulls come first; equal captures stand in the order of their archives,
+    by which ranges are cut too, so a URL that many captures share is no task's alone."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
     runs = materialize(files.mapInArrow(_read, CAPTURE_SCHEMA))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = runs.repartitionByRange(n, "url_key", "timestamp", "page_id").sortWithinPartitions("run", "seq")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_captures))
+    ranges = runs.repartitionByRange(n, "url_key", "timestamp", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
     return ranges.mapInArrow(_merge, CAPTURE_SCHEMA)
 
 

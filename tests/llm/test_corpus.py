@@ -1,6 +1,8 @@
 """Operators over whole tables: near-duplicates, vectors, archives and the pipeline."""
 
+import glob
 import gzip
+import os
 import random
 from collections import Counter
 
@@ -184,15 +186,32 @@ def test_archives(spark, tmp_path):
         same = [r for r in got if r["page_id"] == page and r["payload_bytes"] == len(raw)]
         want = ("revisit", 5) if html == big and page != 5 else ("response", None)
         assert same and all((r["record_type"], r["refers_to"]) == want and r["payload_digest"] == hashlib.sha1(raw).hexdigest() for r in same)
-    import glob
-
-    first = gzip.decompress(open(sorted(f for f in glob.glob(str(tmp_path / "w" / "part*")))[0], "rb").read())
-    assert first.startswith(b"WARC/1.0\r\nWARC-Type: ") and first.endswith(b"\r\n\r\n")
+    files = {os.path.basename(f): open(f, "rb").read() for f in glob.glob(str(tmp_path / "w" / "part*"))}
+    assert all(gzip.decompress(f).startswith(b"WARC/1.0\r\nWARC-Type: ") and gzip.decompress(f).endswith(b"\r\n\r\n") for f in files.values())
+    for r in got:
+        head, _ = warc.read_record(files[r["run"]], r["offset"], r["length"])
+        assert head.get("X-Page-Id") == (None if r["page_id"] is None else str(r["page_id"])) and head["WARC-Type"] == r["record_type"]
     assert warc.url_key("http://WWW.Example.com/A?b") == "com,example)/a?b"
     warc.write_archives(pages.where("false"), str(tmp_path / "e"))
     assert warc.capture_index(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_large_pages_and_runs_of_several_slices(spark, tmp_path):
+    """A page of 50 MB, a URL with most captures, whole rows repeated, ranges smaller than a run."""
+    huge = "<p>ä" * 10_000_000
+    rows = [(k, "http://hot.org/" if k % 3 else f"http://h{k % 7}.org/{k}", f"page {k} " + "x" * RNG.randint(0, 2000)) for k in range(3000)] + [(9000, "http://a.org", huge), (9001, "http://b.org", huge)]
+    rows += rows[:50]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(pages, str(tmp_path / "w"), size=50_000)
+    assert len(glob.glob(str(tmp_path / "w" / "part*"))) > 6
+    got = warc.capture_index(spark, str(tmp_path / "w"), range_captures=500).orderBy("seq").collect()
+    assert len(got) == len(rows) and Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
+    order = [warc.capture_key(tuple(r)[2:]) for r in got]
+    assert order == sorted(order)
+    both = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] >= 9000}
+    assert both == {9000: ("revisit", 9001, 50_000_000), 9001: ("response", None, 50_000_000)}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = docs
