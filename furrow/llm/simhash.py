@@ -7,8 +7,11 @@ whole, a half of the next and a third of the one after: 24 exact keys of 29 or 3
 under a key pass the chain's budgets and then the full Hamming check.
 
 Equal fingerprints count once. Under a key, links are found by a search that leaves out what is
-already reached, so a group of n gives at most n - 1 links, never all pairs. Components of the links
-come from alternating large-star and small-star steps, each written to the shared folder.
+already reached, so a group of n gives at most n - 1 links, never all pairs. Where many fingerprints
+share a key, the bits it leaves are cut into one part more than may differ, of which any linked pair
+shares one whole: the key is dealt on by these parts, and again within a task as long as that helps.
+Components of the links come from alternating large-star and small-star steps, each written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from ..operators.components import connected_components
 from .common import keyed, large, materialize, parts, slices, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: Fingerprints under a key beyond which it is dealt on; those that are compared at once within a task;
+#: comparisons a fingerprint after which a search is dealt on; share of all rows that makes a print hot.
+KEY_PRINTS, AT_ONCE, PATIENCE, HOT_SHARE = 20_000, 512, 64, 1 / 1000
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-PRINT_SCHEMA = "doc_id long, fp long"
+PRINT_SCHEMA = "doc_id long, key_1 long, key_2 long, fp long"
 #: Bits of a segment from its high end: halves, thirds.
 HALVES, THIRDS = ((8, 8), (0, 8)), ((10, 6), (5, 5), (0, 5))
 
@@ -59,9 +65,9 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 def _prints(batches):
     large()
-    for batch in parts(batches, 1):
-        fps = fingerprints(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    for batch in parts(batches, 3):
+        fps = fingerprints(batch.column(3).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=["doc_id", "key_1", "key_2", "fp"])
 
 
 def _segment(i: int) -> Column:
@@ -81,6 +87,20 @@ def _keys() -> list[Column]:
     return out
 
 
+def key_masks() -> list[list[int]]:
+    """The bits that each table's keys leave, in DISTANCE + 1 parts, as signed masks."""
+    out = []
+    for i in range(4):
+        for h_at, h_bits in HALVES:
+            for t_at, t_bits in THIRDS:
+                place = lambda j, at: 48 - 16 * (j % 4) + at
+                held = {place(i, k) for k in range(16)} | {place(i + 1, h_at + k) for k in range(h_bits)} | {place(i + 2, t_at + k) for k in range(t_bits)}
+                left = [k for k in range(64) if k not in held]
+                masks = [sum(1 << k for k in left[c :: DISTANCE + 1]) for c in range(DISTANCE + 1)]
+                out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
+
+
 def near(c: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
     """Which others lie within DISTANCE of c, the chain from segment ``start`` first."""
     x = others ^ c
@@ -92,49 +112,127 @@ def near(c: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
     return at[np.bitwise_count(ring[at]) <= DISTANCE]
 
 
-def linked(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links that join what is connected within one key's fingerprints."""
-    left, out = fps, []
-    while len(left) > 1:
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
-            c = reached.pop()
-            hit = near(c, left, start)
-            if len(hit):
-                out += [(int(c), int(x)) for x in left[hit]]
-                reached += list(left[hit])
-                left = np.delete(left, hit)
+Links = list[tuple[np.ndarray, np.ndarray]]
+
+
+def linked(fps: np.ndarray, start: int) -> Links:
+    """Links that join what is connected within one key's distinct fingerprints, as pairs of arrays.
+
+    What was compared with all that is left needs no further look; when the rest doesn't shrink fast
+    enough, it is dealt on by parts of the bits in which it differs.
+    """
+    out: Links = []
+    if len(fps) <= AT_ONCE:
+        return among(fps, start)
+    left, reached, cost = fps, [], 0
+    while len(left) and cost <= PATIENCE * len(fps):
+        if not reached:
+            reached, left = [left[0]], left[1:]
+        c = reached.pop()
+        cost += len(left)
+        hit = near(c, left, start)
+        if len(hit):
+            out.append((np.full(len(hit), c), left[hit]))
+            reached += list(left[hit])
+            left = np.delete(left, hit)
+    if not len(left):
+        return out
+    rest = np.concatenate((np.array(reached, np.uint64), left))
+    differ = np.bitwise_or.reduce(rest ^ rest[0])
+    bits = [k for k in range(64) if int(differ) >> k & 1]
+    masks = [np.uint64(sum(1 << k for k in bits[c :: DISTANCE + 1])) for c in range(DISTANCE + 1)]
+    for mask in masks if len(rest) > AT_ONCE else ():
+        part = rest & mask
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.diff(part[order])) + 1
+        for own in np.split(rest[order], edge):
+            if len(own) > 1:
+                out += linked(own, start)
+    return out if len(rest) > AT_ONCE else out + among(rest, start)
+
+
+def among(fps: np.ndarray, start: int) -> Links:
+    """The same for few fingerprints, all compared at once by the chain's budgets."""
+    turn = np.uint64(16 * start)
+    ring = (fps << turn) | (fps >> (np.uint64(64) - turn)) if start else fps
+    x = ring[:, None] ^ ring
+    pair = np.bitwise_count(x >> np.uint64(32)) <= 1
+    pair &= np.bitwise_count(x >> np.uint64(16)) <= 2
+    pair &= np.bitwise_count(x) <= DISTANCE
+    out, unseen = [], np.ones(len(fps), bool)
+    for k in np.flatnonzero(pair.sum(1) > 1).tolist():
+        if unseen[k]:
+            unseen[k], reached = False, [k]
+            while reached:
+                c = reached.pop()
+                hit = np.flatnonzero(pair[c] & unseen)
+                if len(hit):
+                    out.append((np.full(len(hit), fps[c]), fps[hit]))
+                    unseen[hit] = False
+                    reached += hit.tolist()
     return out
 
 
 def _links(batches):
-    """Links under each key of rows sorted by key; only the last key's fingerprints wait for more."""
-    key, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Links under each key (and part) of rows sorted by them; only the last one's fingerprints wait for more."""
+    large()
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def found(key: np.ndarray, fps: np.ndarray):
-        edge = np.flatnonzero(np.diff(key)) + 1
-        at = np.concatenate(([0], edge, [len(key)]))
-        out = []
+    def found():
+        """Of whole keys in held."""
+        key, part, bits, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(bits) != 0)) + 1, [len(key)]))
+        out: Links = []
         for a in np.flatnonzero(np.diff(at) > 1):
-            out += linked(fps[at[a] : at[a + 1]], int(key[at[a]] >> 32) // 6)
-        return pa.RecordBatch.from_arrays([pa.array(np.array([x[k] for x in out], np.uint64).view(np.int64)) for k in (0, 1)], names=["u", "v"])
+            out += linked(np.unique(fps[at[a] : at[a + 1]]), int(key[at[a]] >> 32) // 6)
+        for a in range(0, max(1, len(out)), 1000):
+            some = [np.concatenate(x).view(np.int64) for x in zip(*out[a : a + 1000], strict=True)] or [np.zeros(0, np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in some], names=["u", "v"])
 
     for batch in batches:
-        key = np.concatenate((key, batch.column(0).to_numpy()))
-        fps = np.concatenate((fps, batch.column(1).to_numpy().view(np.uint64)))
-        if len(key):
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield found(key[:cut], fps[:cut])
-                key, fps = key[cut:], fps[cut:]
-    if len(key):
-        yield found(key, fps)
-
-
-def links(prints: DataFrame) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        rows = *(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_numpy().view(np.uint64)
+        other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in rows[:3]]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            held.append(tuple(x[:cut] for x in rows))
+        if cut or (held and any(x[-1] != y[0] for x, y in zip(held[-1][:3], rows[:3], strict=True))):
+            yield from found()
+            held = []
+        held.append(tuple(x[cut:] for x in rows))
+    if held:
+        yield from found()
+
+
+def links(prints: DataFrame, key_prints: int = KEY_PRINTS) -> DataFrame:
     """u, v: pairs of different fingerprints that join all that is linked, for distinct fp in prints."""
-    dealt = prints.select("fp", F.explode(F.array(*_keys())).alias("key")).select("key", "fp")
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long").distinct()
+    dealt = prints.select("fp", F.explode(F.array(*_keys())).alias("key"))
+    none = [F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits")]
+    hot = materialize(dealt.groupBy("key").count().where(F.col("count") > key_prints).select("key"))
+    out = dealt.select("key", *none, "fp")
+    if not hot.isEmpty():
+        masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in key_masks()])
+        row = F.element_at(masks, F.shiftright("key", 32).cast("int") + 1)
+        more = dealt.join(hot, "key").select("key", F.posexplode(row).alias("part", "mask"), "fp")
+        out = dealt.join(hot, "key", "left_anti").select("key", *none, "fp").union(more.select("key", "part", F.col("mask").bitwiseAND(F.col("fp")), "fp"))
+    by = ["key", "part", "bits"]
+    return out.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(_links, "u long, v long").distinct()
+
+
+def _prints_of(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes that tell rows apart by doc_id and text, and the fingerprint."""
+    d = keyed(docs, "doc_id")
+    keys = [F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias(f"key_{k}") for k in (1, 2)]
+    return materialize(d.select("doc_id", *keys, "text").mapInArrow(_prints, PRINT_SCHEMA))
+
+
+def _roots(prints: DataFrame) -> DataFrame:
+    """fp, root, n (rows) and first (its first row by doc_id and keys) of each distinct fingerprint, written."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_1", "key_2")).alias("first")
+    distinct = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), first))
+    joined = connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    return materialize(distinct.join(joined, "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -142,15 +240,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null or empty text has fingerprint zero and links like any other. Repeated rows share a
     component; a null doc_id takes part, but names a component only where no other id does (null).
+    Fingerprints of more than a thousandth of all rows, less than a thousand, are broadcast with their
+    components, so their rows don't move.
     """
-    prints = materialize(keyed(docs, "doc_id").mapInArrow(_prints, PRINT_SCHEMA))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = connected_components(links(distinct)).withColumnRenamed("node", "fp")
-    roots = distinct.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = materialize(roots)
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = _prints_of(docs)
+    named = _roots(prints)
+    least = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    by_print = named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id")
+    hot_rows = F.col("n") > named.agg(F.sum("n")).first()[0] * HOT_SHARE if not named.isEmpty() else F.lit(False)
+    hot = F.broadcast(by_print.where(hot_rows).drop("n"))
+    rest = prints.join(hot, "fp", "left_anti").join(by_print.where(~hot_rows).drop("n"), "fp")
+    both = prints.join(hot, "fp").unionByName(rest)
+    return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: one of the smallest doc_id (a null
+    is the largest), of rows of that id one, by hashes.
+
+    Who stays is decided on hashes of rows; texts move once, to meet their keys.
+    """
+    first = _roots(_prints_of(docs)).groupBy("root").agg(F.min("first").alias("first"))
+    kept = materialize(first.select("first.key_1", "first.key_2"))
+    own = [F.xxhash64(F.lit(k), docs["doc_id"].cast("long").isNull(), docs["doc_id"].cast("long"), docs["text"].cast("string").isNull(), docs["text"].cast("string")) for k in (1, 2)]
+    names = [f"key_{k}" + "_" * sum(c.startswith("key_") for c in docs.columns) for k in (1, 2)]
+    met = docs.withColumns(dict(zip(names, own, strict=True))).join(kept.toDF(*names), names, "left_semi")
+    return met.dropDuplicates(names).select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import glob
 import gzip
 import os
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -65,6 +66,55 @@ def test_links_lose_no_pair(spark):
     assert groups(got) == {g for g in groups(want) if len(g) > 1}
 
 
+def grouped(links, nodes):
+    return {n: r for n, r in components([(int(a), int(b)) for x, y in links for a, b in zip(x, y, strict=True)], nodes).items()}
+
+
+@pytest.mark.parametrize("kind", ["ball", "random", "both"])
+def test_links_within_a_large_key(kind, monkeypatch):
+    """Compared at once, searched and dealt on by parts, they join the same fingerprints."""
+    rng = np.random.default_rng(2)
+    held = np.uint64(0xABCD_EF00_0000_0000)
+    some = rng.integers(0, 1 << 34, 600, dtype=np.uint64) if kind != "ball" else np.zeros(1, np.uint64)
+    if kind != "random":
+        flips = np.array([sum(1 << int(b) for b in rng.choice(34, rng.integers(0, 5), replace=False)) for _ in range(900)], np.uint64)
+        some = np.concatenate((some, some[rng.integers(0, len(some), 900)] ^ flips))
+    fps = np.unique(held | some)
+    want = grouped(simhash.among(fps, 0), fps.tolist())
+    for at_once, patience in ((512, 64), (16, 0.01), (64, 2), (1, 10**9)):
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "PATIENCE", patience)
+        assert grouped(simhash.linked(fps, 0), fps.tolist()) == want
+
+
+def test_a_key_of_a_hundred_thousand_fingerprints(spark):
+    """They share a segment and more; the work stays near linear, within a task or dealt to several."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(np.uint64(0x1234_5600_0000_0000) | rng.integers(0, 1 << 40, 100_000, dtype=np.uint64))
+    planted = fps[:2000] ^ np.uint64(0b111)
+    fps = np.unique(np.concatenate((fps, planted)))
+    began = time.time()
+    own = simhash.linked(fps[(fps >> np.uint64(34)) == fps[0] >> np.uint64(34)], 0)
+    found = simhash.linked(fps, 0)
+    assert time.time() - began < 60 and own is not None
+    root = grouped(found, fps.tolist())
+    assert all(root[int(a)] == root[int(a) ^ 0b111] for a in planted)
+    few = spark.createDataFrame([(int(x),) for x in fps[:4000]], "fp long")
+    split = {(r["u"], r["v"]) for r in simhash.links(few, key_prints=50).collect()}
+    whole = {(r["u"], r["v"]) for r in simhash.links(few).collect()}
+    nodes = {int(x) for x in fps[:4000]}
+    assert components(split, nodes) == components(whole, nodes) and whole
+
+
+def test_representatives(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "y"), (3, "other words that stand here alone", "x"), (3, "and some more of quite another kind", "x"), (None, "a b c d", "x"), (None, "nobody has this text but me", "z"), (7, None, "x"), (6, "", "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, key_1 string").withColumn("fp", F.lit("x")).repartition(3)
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, "a b c d"), *[r[:2] for r in rows[3:5]], rows[6][:2], (6, "")])
+    assert simhash.representatives(docs.where("false")).count() == 0
+
+
 def test_near_duplicates(spark):
     text = " ".join("".join(RNG.choices("abcdefgh", k=4)) for _ in range(400))
     near = [" ".join(("zz" if k == j else w) for k, w in enumerate(text.split())) for j in (5, 200, 399)]
