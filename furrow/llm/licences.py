@@ -3,9 +3,10 @@
 Document frequencies of the templates' words over all documents give their IDF. Each template is
 indexed at its own highest-IDF words, one more than an alignment that counts may lack, so none escapes
 however common its words are. All occurrences of these words in a file look up the postings; hits that
-agree on the relative position of file and template are one alignment. An alignment counts when enough of the template's words stand in place, and its licence when
-every mandatory key phrase of the template stands in the file too. Files where none counts are scored
-by all words. Base phrases are found at all their places.
+agree on the relative position of file and template are one alignment. An alignment counts when enough
+of the template's words stand in place, and its licence when every mandatory key phrase stands within
+it, give or take as many words as it may lack. Files where none counts are scored by all words. Base
+phrases are found at all their places. Document frequencies only order words: no result depends on them.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
 
-#: Share of a template's words that must stand in place.
-IN_PLACE = 0.75
+#: Share of a template's words that must stand in place; hits of rare words that are aligned at a time.
+IN_PLACE, HITS = 0.75, 200_000
 
 OUT_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -105,36 +106,54 @@ def document_frequencies(docs: DataFrame, rules: Rules) -> tuple[np.ndarray, int
     return np.array([counts.get(k, 0) for k in range(len(vocabulary))]), counts.get(-1, 0)
 
 
-def alignments(here: Shard, rules: Rules) -> list[tuple[int, int, float]]:
-    """(document, template, share of words in place) of each file's best alignment with a template."""
+def alignments(here: Shard, rules: Rules, places: dict[int, np.ndarray]) -> list[tuple[int, int, float, bool]]:
+    """(document, template, share of words in place of the best alignment, whether one counts and holds its
+    mandatory phrases) of each file and template that align. places: of each phrase, ascending."""
     used = np.unique(rules.posts[:, 0])
     lens = here.counts[used]
     words = np.repeat(used, lens)
     at = np.concatenate([here.postings[here.first[w] : here.first[w + 1]] for w in used]).astype(np.int64) if len(used) else np.zeros(0, np.int64)
     if not len(at):
         return []
-    doc = here.doc(at)
-    # Template postings, by relative position.
-    n = rules.first[words + 1] - rules.first[words]
-    reps = np.repeat(np.arange(len(at)), n)
-    post = rules.first[words[reps]] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)
-    found = np.unique(np.stack((doc[reps], rules.posts[post, 1], at[reps] - rules.posts[post, 2]), 1), axis=0)
     end = here.ends
     tok = np.full(int(end[-1]), -1, np.int64)
     tok[here.postings] = np.repeat(np.arange(len(here.counts)), here.counts)
-    best: dict[tuple[int, int], float] = {}
-    for t in np.unique(found[:, 1]).tolist():
-        words_t = rules.templates[t][1]
-        own = found[found[:, 1] == t]
-        share = np.zeros(len(own))
-        low, high = np.concatenate(([0], end[:-1]))[own[:, 0]], end[own[:, 0]]
-        for j, w in enumerate(words_t):
-            p = own[:, 2] + j
-            ok = (p >= low) & (p < high)
-            share[ok] += tok[p[ok]] == w
-        for d, s in zip(own[:, 0].tolist(), (share / len(words_t)).tolist(), strict=True):
-            best[d, t] = max(s, best.get((d, t), 0.0))
-    return [(d, t, s) for (d, t), s in best.items()]
+    out: dict[tuple[int, int], tuple[float, bool]] = {}
+    # Template postings, by relative position; so many hits at a time.
+    for a in range(0, len(at), HITS):
+        some, own_words = at[a : a + HITS], words[a : a + HITS]
+        doc = here.doc(some)
+        n = rules.first[own_words + 1] - rules.first[own_words]
+        reps = np.repeat(np.arange(len(some)), n)
+        post = rules.first[own_words[reps]] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)
+        found = np.unique(np.stack((rules.posts[post, 1], doc[reps], some[reps] - rules.posts[post, 2]), 1), axis=0)
+        for t in np.unique(found[:, 0]).tolist():
+            own = found[found[:, 0] == t]
+            share, held = judged(own[:, 1], own[:, 2], rules, t, tok, end, places)
+            for d, s, h in zip(own[:, 1].tolist(), share.tolist(), held.tolist(), strict=True):
+                best, any_held = out.get((d, t), (0.0, False))
+                out[d, t] = max(s, best), h or any_held
+    return [(d, t, s, h) for (d, t), (s, h) in out.items()]
+
+
+def judged(docs: np.ndarray, starts: np.ndarray, rules: Rules, t: int, tok: np.ndarray, end: np.ndarray, places: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shares in place of template t's alignments, and whether they count and hold its mandatory phrases."""
+    _, words, must = rules.templates[t]
+    low, high = np.concatenate(([0], end[:-1]))[docs], end[docs]
+    share = np.zeros(len(docs))
+    for j, w in enumerate(words):
+        p = starts + j
+        ok = (p >= low) & (p < high)
+        share[ok] += tok[p[ok]] == w
+    share /= len(words)
+    held = share >= IN_PLACE
+    lack = len(words) - math.ceil(IN_PLACE * len(words))
+    for k in must:
+        at = places.get(k, np.zeros(0, np.int64))
+        first = np.searchsorted(at, np.maximum(starts - lack, low))
+        last = np.minimum(starts + len(words) + lack, high) - rules.size[k]
+        held &= np.append(at, np.iinfo(np.int64).max)[first] <= last
+    return share, held
 
 
 def best_shares(here: Shard, rules: Rules, docs: np.ndarray) -> np.ndarray:
@@ -166,23 +185,25 @@ def _scan(shared):
             for a, b, whole in shards(texts):
                 here, n = whole.named(rules.vocabulary), b - a
                 begin = np.concatenate(([0], here.ends[:-1]))
-                has: list[set[int]] = [set() for _ in range(n)]
+                base: list[set[str]] = [set() for _ in range(n)]
+                places: dict[int, np.ndarray] = {}
                 n_base, first, last = [0] * n, [None] * n, [None] * n
                 for size, numbers in rules.by_size:
                     at, which = here.find(rules.rows[size])
-                    for p, d, k in zip(at.tolist(), here.doc(at).tolist(), numbers[which].tolist(), strict=True):
-                        has[d].add(k)
-                        if k in rules.base:
-                            w = p - int(begin[d])
-                            n_base[d] += 1
-                            first[d] = w if first[d] is None else min(w, first[d])
-                            last[d] = w if last[d] is None else max(w, last[d])
-                base = [{rules.base[k] for k in x if k in rules.base} for x in has]
+                    for k in np.unique(which).tolist():
+                        places[int(numbers[k])] = np.sort(at[which == k])
+                for k, label in rules.base.items():
+                    at = places.get(k, np.zeros(0, np.int64))
+                    for p, d in zip(at.tolist(), here.doc(at).tolist(), strict=True):
+                        w = p - int(begin[d])
+                        base[d].add(label)
+                        n_base[d] += 1
+                        first[d] = w if first[d] is None else min(w, first[d])
+                        last[d] = w if last[d] is None else max(w, last[d])
                 labels, score = [set(x) for x in base], [1.0 * bool(x) for x in base]
-                for d, t, share in alignments(here, rules):
-                    label, _, must = rules.templates[t]
-                    if share >= IN_PLACE and has[d].issuperset(must):
-                        labels[d].add(label)
+                for d, t, share, held in alignments(here, rules, places):
+                    if held:
+                        labels[d].add(rules.templates[t][0])
                     score[d] = max(score[d], share)
                 left = np.flatnonzero(np.array(score) < IN_PLACE)
                 for d, share in zip(left.tolist(), best_shares(here, rules, left).tolist(), strict=True):
@@ -207,3 +228,39 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates=TEMPLATES) -> D
 
 def op1_licence_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """Base places, and every alignment of every template by all words, in DuckDB's SQL."""
+    phrases = list(dict.fromkeys([*BASE, *chain.from_iterable(m for _, _, m in TEMPLATES)]))
+    rows = lambda values: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in x) + ")" for x in values)
+    lack = lambda n: n - math.ceil(IN_PLACE * n)
+    split = [t.split(" ") for _, t, _ in TEMPLATES]
+    return rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+template(t, label, n, lack, n_must) AS (VALUES {rows((k, label, len(split[k]), lack(len(split[k])), len(must)) for k, (label, _, must) in enumerate(TEMPLATES))}),
+template_word(t, j, word) AS (VALUES {rows((k, j, w) for k, words in enumerate(split) for j, w in enumerate(words))}),
+phrase(k, size, word, phrase) AS (VALUES {rows((k, len(x.split(" ")), x.split(" ")[0], x) for k, x in enumerate(phrases))}),
+must(t, k) AS (VALUES {rows((k, phrases.index(m)) for k, (_, _, must) in enumerate(TEMPLATES) for m in must)}),
+base(k, label) AS (VALUES {rows((phrases.index(x), label) for x, label in BASE.items())}),
+words AS (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS word FROM dw),
+place AS (SELECT r, k, p, size FROM words JOIN phrase USING (word) JOIN dw USING (r) WHERE array_to_string(w[p + 1:p + size], ' ') = phrase),
+aligned AS (SELECT r, t, p - j AS s, count(*) AS c FROM words JOIN template_word USING (word) GROUP BY ALL),
+share AS (SELECT r, t, s, n, lack, n_must, label, c / n AS share FROM aligned JOIN template USING (t)),
+held AS (
+  SELECT r, label FROM share JOIN must USING (t) JOIN place USING (r, k)
+  WHERE share >= {IN_PLACE} AND p >= s - lack AND p + size <= s + n + lack
+  GROUP BY r, t, s, label HAVING count(DISTINCT k) = any_value(n_must)),
+found AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place JOIN base USING (k) GROUP BY r),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM held UNION ALL SELECT r, label FROM place JOIN base USING (k)) GROUP BY r),
+score AS (SELECT r, max(share) AS score FROM share GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END AS score
+FROM dw LEFT JOIN found USING (r) LEFT JOIN labels USING (r) LEFT JOIN score USING (r)
+"""
+
+
+OP1_SQL = oracle_sql()

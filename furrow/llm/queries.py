@@ -19,4 +19,4 @@ QUERIES = {
         ann.op10_anisotropic_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op5_decontamination": decontam.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_licence_scan": licences.OP1_SQL, "op3_warc": warc.OP3_SQL, "op5_decontamination": decontam.OP5_SQL}

@@ -259,6 +259,44 @@ def test_common_licences_are_found_like_rare_ones(spark):
     assert got[900]["labels"] == "" and got[900]["score"] == pytest.approx(want)
 
 
+def with_sql(docs, sql):
+    """The rows of a query's SQL over docs as the table documents."""
+    duckdb, pa = pytest.importorskip("duckdb"), pytest.importorskip("pyarrow")
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in docs.select("doc_id", "text").collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])))
+    got = con.execute(sql)
+    return [c[0] for c in got.description], got.fetchall()
+
+
+def test_licences_equal_the_sql(spark, docs):
+    """Whole and cut templates, words in between, phrases of one licence beside the text of another."""
+    pool = [w for _, t, _ in licences.TEMPLATES for w in t.split()]
+    rows = []
+    for k in range(400):
+        _, text, must = RNG.choice(licences.TEMPLATES)
+        words = text.split()
+        for _ in range(RNG.randint(0, 4)):
+            at = RNG.randrange(len(words))
+            words[at : at + RNG.randint(0, 2)] = RNG.choices(pool, k=RNG.randint(0, 2))
+        parts = [words, prose("en", RNG.randint(0, 20)).split(), RNG.choice([list(must), RNG.choices(pool, k=5), list(licences.BASE)])]
+        RNG.shuffle(parts)
+        rows.append((k, " ".join(sum(parts, [])[RNG.randint(0, 3) :])))
+    key = lambda r: tuple((x is None, x) for x in r)
+    for some in (spark.createDataFrame(rows, "doc_id long, text string"), docs):
+        names, want = with_sql(some, licences.OP1_SQL)
+        got = licences.scan(some).select(*names).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert sum(r["labels"] != r["base_labels"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()) > 50
+
+
+def test_phrases_count_within_their_own_alignment(spark):
+    texts = {label: t for label, t, _ in licences.TEMPLATES[::-1]}
+    cut = texts["gpl-2"].replace("version 2 of the license", "some x of the license")
+    rows = [(1, cut), (2, cut + " " + prose("en", 50) + " version 2 of the license"), (3, texts["gpl-2"] + " " + prose("en", 50))]
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "gpl-2"}
+
+
 def test_every_licence_of_a_file_is_found(spark):
     """A file that holds all templates, among rows in which the words of its last one are the commonest."""
     last = "licensed under the gnu general public license version 3"
