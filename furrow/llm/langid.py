@@ -13,6 +13,7 @@ and calibrates the posterior's temperature and the bound beyond which a text is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import large, materialize, parts, slices, table
 
 UNKNOWN = "und"
-#: Bounds of the model: languages (the most frequent labels), n-grams a language and order (the most
-#: frequent), probabilities in the shared arrays: with more, languages share arrays in smaller blocks.
-LANGUAGES, GRAMS, CELLS = 200, 200_000, 50_000_000
+#: Bounds of the model: n-grams a language and order (the most frequent; the rest of the mass backs off),
+#: probabilities in the shared arrays of a block: with more, languages share arrays in smaller blocks.
+GRAMS, CELLS = 200_000, 8_000_000
+#: Characters beyond which a text's score grows no surer: neighbouring characters tell much the same.
+EVIDENCE = 200
 #: One labelled row in so many is kept for calibration, and so many rows at most.
 CALIBRATION_PART, CALIBRATION_ROWS = 32, 4000
 #: Share of a language's calibration texts that its bound lets pass at least; share of the texts of other
@@ -194,7 +197,7 @@ class Model:
         return out, n
 
     def posterior(self, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
-        x = -bits * np.minimum(n, 200)[:, None] / self.temperature
+        x = -bits * np.minimum(n, EVIDENCE)[:, None] / self.temperature
         x = np.exp((x - x.max(axis=1, keepdims=True)) * np.log(2))
         return x / x.sum(axis=1, keepdims=True)
 
@@ -277,9 +280,10 @@ def _tables(counts: DataFrame, langs: list[str], limit: int) -> dict[str, dict[i
             once[r["lang"]] += r["once"]
             twice[r["lang"]] += r["twice"]
         most = limit if k > 1 else 1 << 16
-        cut = {x: next(j for j in range(1025) if sum(h[j:]) <= most) for x, h in held.items()}
+        upward = {x: [*accumulate(h[::-1])][::-1] + [0] for x, h in held.items()}  # grams of a level or above
+        cut = {x: next(j for j, n in enumerate(h) if n <= most) for x, h in upward.items()}
         keep = level >= of(cut)
-        quota = {x: most - sum(held[x][j:]) for x, j in cut.items() if j and most > sum(held[x][j:])}
+        quota = {x: most - upward[x][j] for x, j in cut.items() if j and most > upward[x][j]}
         if quota:  # the level that only a part of fits
             under = counts.where(F.col("lang").isin(list(quota)) & (level == of(cut) - 1))
             keep = keep | ((level == of(cut) - 1) & F.coalesce(F.col("gram") <= of(_fill(under, quota)), F.lit(False)))
@@ -296,16 +300,18 @@ def _tables(counts: DataFrame, langs: list[str], limit: int) -> dict[str, dict[i
 def train(docs: DataFrame, max_grams: int = GRAMS) -> Model:
     """A calibrated model from the rows of docs with a language and crc32(doc_id) mod 3 other than 1.
 
-    Rows with a null doc_id, text or lang teach nothing. No labelled row: a model without languages.
+    Rows with a null doc_id, text or lang teach nothing. No labelled row: a model without languages. Every
+    label is learned, so the model grows with them, by max_grams of each order at most. A label of too few
+    rows has no text set aside and takes the calibration of the others.
     """
     rest = split_third("doc_id")
     labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), rest.alias("h")).where("text is not null and lang is not null and h % 3 <> 1")
     aside = F.floor(F.col("h") / 3) % CALIBRATION_PART == 0
     counts = materialize(labelled.where(~aside).select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not top:
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
         return Model.build({})
-    m = Model.of(_tables(counts.where(F.col("lang").isin(top)), top, max_grams))
+    m = Model.of(_tables(counts, langs, max_grams))
     sample = labelled.where(aside).orderBy("h").limit(CALIBRATION_ROWS).select("text", "lang")
     rows = sample.mapInArrow(_ordinary, "text string, lang string").collect()
     m.calibrate([r["text"] for r in rows], [r["lang"] for r in rows])

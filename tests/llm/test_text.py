@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -364,6 +366,64 @@ def test_language_model_is_a_distribution():
         assert (2.0 ** m.scores(keys)).sum(0) + 2.0 ** rest[0] == pytest.approx(1, abs=1e-4)
 
 
+def brute_kneser_ney(texts):
+    """P(unit | three before) by the formula, over dictionaries: (probability function, known units)."""
+    padded = ["   " + "".join(chr(x) for x in (langid.grams(t) & np.uint64(0xFFFF)).tolist()) for t in texts]
+    counts = {4: Counter(t[k : k + 4] for t in padded for k in range(len(t) - 3))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut, total, kinds = {}, {}, {}
+    for n, c in counts.items():
+        once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        cut[n] = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+        total[n], kinds[n] = Counter(), Counter()
+        for g, x in c.items():
+            total[n][g[:-1]] += x
+            kinds[n][g[:-1]] += 1
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        if not total[n][gram[:-1]]:
+            return p(gram[1:])
+        below = cut[n] * kinds[n][gram[:-1]] / total[n][gram[:-1]] * p(gram[1:])
+        return max(counts[n][gram] - cut[n], 0) / total[n][gram[:-1]] + below
+
+    return p, padded
+
+
+def test_language_model_equals_the_formula(spark):
+    """From arrays and from a table, for seen and unseen grams."""
+    texts = [prose("fr", 40) for _ in range(6)] + ["aaa bbb", "a"]
+    p, padded = brute_kneser_ney(texts)
+    built = langid.Model.build({"fr": langid.summed(np.concatenate([langid.grams(t) for t in texts]))})
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1 and zlib.crc32(str(k).encode()) // 3 % langid.CALIBRATION_PART][: len(texts)]
+    trained = langid.train(spark.createDataFrame([(k, t, "fr") for k, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string"))
+    sought = sorted({t[k : k + 4] for t in padded for k in range(len(t) - 3)})[::5] + ["zzzz", "eau?", "e qu", "lesz", "日本語文", "  a日"]
+    keys = np.array([int.from_bytes(g.encode("utf-16-be"), "big") for g in sought], np.uint64)
+    for m in (built, trained):
+        assert 2.0 ** m.scores(keys)[:, 0] == pytest.approx([p(g) for g in sought], rel=1e-4)
+
+
+def test_three_hundred_labels_are_learned(spark):
+    letters = [chr(0x4E00 + k) for k in range(600)]
+    rows = [(12 * j + k, " ".join(RNG.choices(letters[2 * j], k=9) + RNG.choices(letters[2 * j + 1], k=9)), f"x{j:03}") for j in range(300) for k in range(12)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len({r["lang_pred"] for r in got}) == 300 and sum(want[r["doc_id"]] == r["lang_pred"] for r in got) >= 0.98 * len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't here")
+def test_held_out_accuracy_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r["lang_pred"] == r["lang"])
+    assert len(by) > 2 and all(len(x) > 20 and np.mean(x) >= 0.95 for x in by.values()), {k: (len(x), np.mean(x)) for k, x in by.items()}
+
+
 def test_languages(docs, none):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(ROWS)
