@@ -2,9 +2,10 @@
 
 Regexes propose spans. Labelers vote on each - its shape, gazetteers (mail domains, calling codes,
 card prefixes, reserved networks, given names) and the words before it - for, against or not at all.
-Expectation-maximisation over the counts of all vote patterns of all documents estimates each
-labeler's reliability; the posteriors train a logistic span classifier on the same patterns. Spans of
-the four base kinds that pass their checks always stay; the classifier decides about the others.
+Expectation-maximisation over the counts of all vote patterns of all documents estimates each labeler's
+reliability for each kind; the posteriors train a logistic span classifier, which besides the votes
+sees what no labeler does: the span's length and what stands on either side. Spans of the four base
+kinds that pass their checks always stay; the classifier decides about the others.
 
 Scanning is linear in a text's length: digits are matched possessively from the start of their run,
 and mail addresses outwards from each ``@``.
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import product
+from bisect import bisect_left
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,24 @@ EXTRA = {
     "local_phone": re.compile(r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "spelled_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63})+"),
-    "name": re.compile(r"(?:[Mm]y name is|[Ss]igned,|[Dd]ear (?:Mr|Mrs|Ms|Dr)\.?) ([A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?)"),
+    "spelled_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]++)++"),
+    "name": re.compile(r"(?:[Mm]y name is|[Ss]igned,|[Dd]ear (?:Mr|Mrs|Ms|Dr)\.?) ([A-Z][a-z]++(?: [A-Z][a-z]++)?)"),
 }
 #: Calling codes of one to three digits begin with these; card prefixes; networks no person has.
 CODES = ("1", "7", "20", "27", "3", "4", "5", "6", "8", "9", "21", "22", "23", "24", "25", "26", "29")
 CARD_PREFIXES = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "62", "65", "22", "35", "36", "30")
 RESERVED = ("0.", "127.", "255.")
-TOP_DOMAINS = frozenset("com org net edu gov io de fr es uk it nl eu info biz me co us ca au jp br example test".split())
-GIVEN_NAMES = frozenset("james mary john anna peter paul maria jose luis carlos ana pierre marie jean claire hans klaus anna sofia emma lucas julia thomas robert linda susan michael sarah david laura".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop museum mobi jobs travel tel cat asia post app dev io ai co me tv cc ws xyz online site store shop blog cloud tech club live news email media world life today "
+    "de fr es uk it nl eu be ch at se no dk fi pl cz sk hu ro bg gr pt ie lu li is ee lv lt si hr rs ua ru tr il us ca mx br ar cl pe ve au nz jp kr cn tw hk sg my th vn ph id in pk ir ae sa eg za ng ke ma example test".split()
+)
+GIVEN_NAMES = frozenset(
+    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony sandra mark margaret "
+    "anna peter paul maria jose luis carlos ana pierre marie jean claire hans klaus sofia emma lucas julia laura pedro miguel juan antonio francisco isabel carmen lucia elena marta pablo diego jorge sergio andrea marco "
+    "giulia francesca luca matteo giovanni chiara louis camille antoine nicolas sophie isabelle jacques michel philippe francois martin stefan andreas wolfgang petra monika sabine ursula heike jens lars sven ingrid astrid "
+    "olga ivan dmitri sergei natasha tatiana mehmet ahmed mohammed fatima aisha omar ali hassan yusuf leila amir wei li ming chen yuki hiroshi kenji akira raj priya amit anil sunita kumar alice bob carol emily george "
+    "helen henry jack jane kevin kate oliver olivia sam simon steven victoria".split()
+)
 CUES = {
     "email": ("mail", "contact", "write", "reach"),
     "spelled_email": ("mail", "contact", "write", "reach"),
@@ -60,6 +71,8 @@ AGAINST = ("version", "release", "isbn", "order", "build", "serial", "page", "ch
 #: Characters before a span that the context labelers read.
 CONTEXT = 40
 LABELERS = ("shape", "gazetteer", "cue", "counter_cue")
+#: What a look can be; spans that the reliabilities of all kinds together count for in a kind's own.
+LOOKS, STRENGTH = 64, 20.0
 
 
 def luhn(digits: str) -> bool:
@@ -108,12 +121,15 @@ def iban_valid(value: str) -> bool:
 def extra_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The other proposals, leftmost per kind, that overlap no base span."""
     out = []
+    ends = [*accumulate((y for _, _, y in sorted(taken, key=lambda s: s[1])), max)]
+    begins = sorted(x for _, x, _ in taken)
     for kind, pattern in EXTRA.items():
         if kind == "spelled_email" and "dot" not in text and "DOT" not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1) if m.re.groups else m.span()
-            if all(b <= x or y <= a for _, x, y in taken):
+            k = bisect_left(begins, b)  # the base spans that begin before b
+            if not k or ends[k - 1] <= a:
                 out.append((kind, a, b))
     return out
 
@@ -145,15 +161,22 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
     return shape, gazetteer, cue, counter
 
 
-def pattern_of(kind: str, vote: tuple[int, ...]) -> int:
+def look(text: str, a: int, b: int) -> int:
+    """What stands before and behind a span (nothing or a line end, blank, letter or digit, other) and its length."""
+    side = lambda c: 0 if c in ("", "\n") else 1 if c.isspace() else 2 if c.isalnum() else 3
+    return side(text[a - 1 : a]) * 16 + side(text[b : b + 1]) * 4 + (b - a >= 8) + (b - a >= 12) + (b - a >= 20)
+
+
+def pattern_of(kind: str, vote: tuple[int, ...], seen: int = 0) -> int:
     n = KINDS.index(kind)
     for v in vote:
         n = 3 * n + v
-    return n
+    return n * LOOKS + seen
 
 
 def votes_of(pattern: int) -> tuple[str, tuple[int, ...]]:
     vote = []
+    pattern //= LOOKS
     for _ in LABELERS:
         pattern, v = divmod(pattern, 3)
         vote.append(v)
@@ -161,39 +184,53 @@ def votes_of(pattern: int) -> tuple[str, tuple[int, ...]]:
 
 
 def reliabilities(patterns: list[int], counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(posteriors by pattern, P(vote | truth) as [labeler, truth, vote]) by expectation-maximisation."""
-    v = np.array([votes_of(p)[1] for p in patterns], np.int64).reshape(-1, len(LABELERS))
+    """(posteriors by pattern, P(vote | truth) as [kind, labeler, truth, vote]) by expectation-maximisation.
+
+    Each kind has a share of true spans and reliabilities of its own, drawn to those of all kinds together
+    by as much as STRENGTH spans would.
+    """
+    told = [votes_of(p) for p in patterns]
+    v = np.array([x for _, x in told], np.int64).reshape(-1, len(LABELERS))
+    kind = np.array([KINDS.index(k) for k, _ in told], np.int64)
     post = 1 / (1 + np.exp(-(v - 1).sum(1).astype(float)))
-    given = np.full((len(LABELERS), 2, 3), 1 / 3)
+    given = np.full((len(KINDS), len(LABELERS), 2, 3), 1 / 3)
     for _ in range(rounds):
-        share = np.stack(((1 - post) * counts, post * counts))
-        prior = (share.sum(1) + 1) / (counts.sum() + 2)
+        share = np.stack(((1 - post) * counts, post * counts))  # [truth, pattern]
+        of_kind = np.stack([np.bincount(kind, x, len(KINDS)) for x in share])
+        overall = (share.sum(1) + 1) / (counts.sum() + 2)
+        prior = (of_kind + STRENGTH * overall[:, None]) / (of_kind.sum(0) + STRENGTH)
         for j, t, x in product(range(len(LABELERS)), (0, 1), range(3)):
-            given[j, t, x] = (share[t][v[:, j] == x].sum() + 1) / (share[t].sum() + 3)
-        logs = np.log(prior)[:, None] + sum(np.log(given[j][:, v[:, j]]) for j in range(len(LABELERS)))
+            cast = np.bincount(kind, share[t] * (v[:, j] == x), len(KINDS))
+            pooled = (cast.sum() + 1) / (share[t].sum() + 3)
+            given[:, j, t, x] = (cast + STRENGTH * pooled) / (of_kind[t] + STRENGTH)
+        logs = np.log(prior)[:, kind] + sum(np.log(given[kind, j, :, v[:, j]]).T for j in range(len(LABELERS)))
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
     return post, given
 
 
 def features(patterns: list[int]) -> np.ndarray:
-    out = np.zeros((len(patterns), len(KINDS) + 2 * len(LABELERS) + 1))
-    for r, p in enumerate(patterns):
-        kind, vote = votes_of(p)
-        out[r, KINDS.index(kind)] = out[r, -1] = 1
-        for j, x in enumerate(vote):
-            out[r, len(KINDS) + 2 * j] = x == 2
-            out[r, len(KINDS) + 2 * j + 1] = x == 0
-    return out
-
-
-def classifier(patterns: list[int], counts: np.ndarray, post: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
+    """Kind, votes, votes by kind, look and one."""
+    at = np.arange(len(patterns))
+    told = [votes_of(p) for p in patterns]
+    kind = np.array([KINDS.index(k) for k, _ in told], np.int64)
+    vote = np.array([x for _, x in told], np.int64).reshape(-1, len(LABELERS))
+    seen = np.array(patterns, np.int64) % LOOKS
+    kinds, sides = np.zeros((len(at), len(KINDS))), np.zeros((len(at), 12))
+    kinds[at, kind] = 1
+    for k, x in enumerate((seen // 16, seen // 4 % 4, seen % 4)):
+        sides[at, 4 * k + x] = 1
+    both = np.hstack((vote == 2, vote == 0)).astype(float)
+    return np.hstack((kinds, both, (kinds[:, :, None] * both[:, None, :]).reshape(len(at), kinds.shape[1] * both.shape[1]), sides, np.ones((len(at), 1))))
+
+
+def classifier(patterns: list[int], counts: np.ndarray, post: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic model of the posteriors, by Newton steps."""
     x = features(patterns)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (counts * (post - p)) - ridge * w
-        w += np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        w += np.linalg.solve((x * (counts * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
     return w
 
 
@@ -231,12 +268,12 @@ def _find(batches):
             x, y = proposals(text)
             base.append(joined(x))
             more.append(joined(y))
-            patterns.append([pattern_of(k, votes(text, k, a, b)) for k, a, b in x + y])
+            patterns.append([pattern_of(k, votes(text, k, a, b), look(text, a, b)) for k, a, b in x + y])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(pa.string())), pa.array(more, pa.list_(pa.string())), pa.array(patterns, pa.list_(pa.int32()))], names=["doc_id", "base", "more", "patterns"])
 
 
 def _counted(found: DataFrame) -> frozenset[int]:
-    """The classifier's accepted patterns; the driver gets a row per pattern, at most 9 * 3^4."""
+    """The classifier's accepted patterns; the driver gets a row per pattern, at most 9 * 3^4 * LOOKS."""
     rows = found.select(F.explode("patterns").alias("p")).groupBy("p").count().collect()
     return accepted_patterns({r["p"]: r["count"] for r in rows})
 
@@ -270,7 +307,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redacted(text: str, good: frozenset[int]) -> str:
     """The text with each span as its kind in angle brackets; overlapping spans as the first one."""
     base, more = proposals(text)
-    spans = base + [s for s in more if pattern_of(s[0], votes(text, *s)) in good]
+    spans = base + [s for s in more if pattern_of(s[0], votes(text, *s), look(text, *s[1:])) in good]
     out, end = [], 0
     for a, b, kind in sorted((a, b, k) for k, a, b in spans):
         if a >= end:
