@@ -165,14 +165,26 @@ def derivative_weeks(spark, sf_dir):
     return temporal.vi_derivative(ndvi(spark, sf_dir, nulls=True), units="weeks")
 
 
-SMOOTH = "CASE WHEN count(v) OVER w = least(12, flight + 1) - greatest(1, flight - 1) + 1 THEN sum(v) OVER w / (least(12, flight + 1) - greatest(1, flight - 1) + 1) END"
+# The smoothed values are made once, then meet themselves one flight on.
+SMOOTH = """WITH {cte}, sm AS MATERIALIZED (SELECT flight, y, x, CASE WHEN count(v) OVER w = least(12, flight + 1) - greatest(1, flight - 1) + 1 THEN sum(v) OVER w / (least(12, flight + 1) - greatest(1, flight - 1) + 1) END AS v
+FROM vin WINDOW w AS (PARTITION BY y, x ORDER BY flight RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+d AS MATERIALIZED (SELECT flight, flight_date AS date_from, lead(flight_date) OVER (ORDER BY flight) AS date_to FROM (SELECT DISTINCT flight, flight_date FROM px4)),
+nx AS MATERIALIZED (SELECT flight - 1 AS flight, y, x, v FROM sm)
+SELECT a.y, a.x, CAST(date_from AS VARCHAR) || '_to_' || CAST(date_to AS VARCHAR) AS interval, date_from, date_to, round((b.v - a.v) / (date_to - date_from), 9) + 0.0 AS ddt
+FROM sm AS a JOIN d USING (flight) LEFT JOIN nx AS b USING (flight, y, x) WHERE date_to IS NOT NULL"""
 
 
-@query(DDT.format(cte=VI_CTE, value=SMOOTH, vi="vin WINDOW w AS (PARTITION BY y, x ORDER BY flight RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)", gap="date_to - date_from"))
+@query(SMOOTH.format(cte=VI_CTE))
 def derivative_smooth(spark, sf_dir):
     return temporal.vi_derivative(ndvi(spark, sf_dir, nulls=True), smoothed=True)
 
 
+@query("WITH r AS (SELECT interval, avg(ddt) AS rate FROM (" + DDT.format(cte=VI_CTE, value="v", vi="vi", gap="date_to - date_from").replace("round((b.v - a.v) / (date_to - date_from), 9) + 0.0", "(b.v - a.v) / (date_to - date_from)") + f""") GROUP BY 1)
+SELECT 'fastest' AS kind, arg_max(interval, rate) AS interval, {rd("max(rate)")} AS rate FROM r UNION ALL SELECT 'slowest', arg_min(interval, rate), {rd("min(rate)")} FROM r""")
+def rate_extremes(spark, sf_dir):
+    return temporal.rate_extremes(temporal.vi_derivative(ndvi(spark, sf_dir)))
+
+
 OBS = "obs(seq, d, bbch) AS (VALUES (1, DATE '2024-01-20', '10'), (2, DATE '2024-06-15', '55'), (3, DATE '2024-12-01', '89'), (4, DATE '2024-09-20', '75'), (5, DATE '2024-09-10', '71')), f AS (SELECT DISTINCT flight, flight_date FROM px4)"
 
 
@@ -240,22 +252,33 @@ def extract_stats(spark, sf_dir):
 
 
 FIELD = Grid(10_000, fx.WIDTH, 0.0, 0.0, 1.0)
-BLOCKS = plots.PlotGrid(50, 4, 5.0, 5.0, 0.0, 0.0)
 
 
-@query(f"WITH {VI_CTE}, own AS (SELECT printf('P%03d', {PLOT_SQL}) AS plot_id, flight_date, v FROM vi WHERE y < 250) SELECT plot_id, flight_date, count(v) AS n_pixels, {rd('avg(v)')} AS mean FROM own GROUP BY ALL")
+def _blocks(spark, sf_dir) -> plots.PlotGrid:
+    """Blocks of five by five metres over the whole field."""
+    return plots.PlotGrid(fx.n_plots(spark, sf_dir) // (fx.WIDTH // fx.PLOT), fx.WIDTH // fx.PLOT, 5.0, 5.0, 0.0, 0.0)
+
+
+@query(f"WITH {VI_CTE}, own AS (SELECT printf('P%03d', {PLOT_SQL}) AS plot_id, flight_date, v FROM vi) SELECT plot_id, flight_date, count(v) AS n_pixels, {rd('avg(v)')} AS mean FROM own GROUP BY ALL")
 def extract_polygons(spark, sf_dir):
     """The same blocks as polygons, by the binned spatial join."""
-    rings = plots.generate_plot_grid(spark, BLOCKS)
+    rings = plots.generate_plot_grid(spark, _blocks(spark, sf_dir))
     met = zonal.join_polygons(ndvi(spark, sf_dir).pixels, rings, FIELD)
     return zonal.plot_stats(met, ["plot_id", "flight_date"], "NDVI", min_pixels=1)
 
 
-@query(f"WITH {VI_CTE} SELECT CAST(floor(y / 5) + 1 AS INT) AS \"row\", CAST(floor(x / 5) + 1 AS INT) AS col, count(*) AS n_pixels, {rd('avg(v)')} AS mean FROM vi WHERE flight = 6 AND y < 250 GROUP BY ALL")
+@query(f"WITH {PX4_CTE} SELECT flight, y, x, {rd('nir')} AS nir FROM px4 WHERE {PLOT_SQL} % 3 = 1")
+def mask_plots(spark, sf_dir):
+    """The pixels that every third block holds."""
+    rings = plots.generate_plot_grid(spark, _blocks(spark, sf_dir)).where("((row - 1) * 4 + col) % 3 = 1")
+    return zonal.mask(fx.px4(spark, sf_dir).pixels.select("flight", "y", "x", "nir"), rings, FIELD)
+
+
+@query(f"WITH {VI_CTE} SELECT flight_date, CAST(floor(y / 5) + 1 AS INT) AS \"row\", CAST(floor(x / 5) + 1 AS INT) AS col, count(*) AS n_pixels, {rd('avg(v)')} AS mean FROM vi GROUP BY ALL")
 def extract_regular_grid(spark, sf_dir):
     """The same blocks in closed form, without a join."""
-    met = zonal.join_grid(ndvi(spark, sf_dir).pixels.where("flight = 6"), BLOCKS, FIELD)
-    return zonal.plot_stats(met, ["row", "col"], "NDVI", min_pixels=1)
+    met = zonal.join_grid(ndvi(spark, sf_dir).pixels, _blocks(spark, sf_dir), FIELD)
+    return zonal.plot_stats(met, ["flight_date", "row", "col"], "NDVI", min_pixels=1)
 
 
 FUSE = f"""WITH {VI_CTE}, {TRUTH_CTE}, s AS (SELECT flight_date, printf('P%03d', {PLOT_SQL}) AS plot_id, count(v) AS n_pixels, CASE WHEN count(v) >= 5 THEN avg(v) END AS mean FROM vin GROUP BY ALL),
@@ -322,7 +345,15 @@ def ow_top(spark, sf_dir):
     return optimal_window(spark, sf_dir).drop("p_value")
 
 
-@query()
+# Two-sided p of Student's t by its finite series; nu degrees of freedom.
+P_SQL = """CASE WHEN n < 3 OR r IS NULL THEN NULL ELSE greatest(0, 1 - CASE WHEN nu % 2 = 0
+THEN abs(r) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(1 - r * r, k)))
+ELSE 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(1 - r * r, k + 0.5))), 0)) END) END"""
+
+
+@query(MEANS + ", every_w AS (SELECT * FROM single UNION ALL SELECT * FROM win), r AS (" + CORR.format(m="every_w", a="v", b="t").replace("round(", "(").replace(", 9) + 0.0 AS r", ") AS r").replace("any_value(n_plots) AS n_plots FROM", "any_value(n_plots) AS n_plots, count(*) AS n, count(*) - 2 AS nu FROM") + f"""), fd AS (SELECT DISTINCT flight, flight_date FROM vin)
+SELECT CASE WHEN i = j THEN 'single' ELSE 'window' END AS type, a.flight_date AS date_from, b.flight_date AS date_to, {rd("r")} AS r, {rd("r * r")} AS r2, {rd(P_SQL)} AS p_value, n_plots
+FROM r JOIN fd AS a ON a.flight = i JOIN fd AS b ON b.flight = j ORDER BY abs(r) DESC NULLS LAST, CASE WHEN i = j THEN 0 ELSE 1 END, i, j LIMIT 10""")
 def optimal_window(spark, sf_dir):
     vi = ndvi(spark, sf_dir, nulls=True)
     gt = fx.truth(spark, sf_dir).groupBy("plot_id").agg(F.avg("trait").alias("trait"))
@@ -387,44 +418,52 @@ BANDS4 = ("green", "red", "rededge", "nir")
 
 
 def _panels(spark, sf_dir, n: int) -> tuple[DataFrame, DataFrame]:
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
+    """All flights' pixels, and the mean DN of the first n plots of each flight as its panels."""
+    px = fx.px4(spark, sf_dir).pixels
     dn = px.withColumn("panel_id", F.format_string("panel_%d", fx.plot_no())).where(F.col("panel_id").isin([f"panel_{k}" for k in range(1, n + 1)]))
-    return px, dn.groupBy("panel_id").agg(*[F.avg(b).alias(b) for b in BANDS4])
+    return px, dn.groupBy("flight", "panel_id").agg(*[F.avg(b).alias(b) for b in BANDS4])
 
 
 def calib_sql(expr: str, n: int) -> str:
     cols = ", ".join(f"round(greatest(0, least(1, {expr.format(b=b)})), 6) + 0.0 AS {b}" for b in BANDS4)
     fit = ", ".join(f"avg({b}) AS {b}" for b in BANDS4)
     coef = ", ".join(f"regr_slope(known, {b}) AS g_{b}, regr_intercept(known, {b}) AS o_{b}, any_value(known / greatest({b}, 1e-9)) AS k_{b}" for b in BANDS4)
-    return f"""WITH {PX4_CTE}, f AS (SELECT * FROM px4 WHERE flight = 1), p AS (SELECT {PLOT_SQL} AS plot, {fit} FROM f WHERE {PLOT_SQL} <= {n} GROUP BY 1),
-c AS (SELECT {coef} FROM (SELECT *, CASE plot WHEN 1 THEN 0.5 ELSE 0.2 END AS known FROM p)) SELECT y, x, {cols} FROM f, c"""
+    return f"""WITH {PX4_CTE}, p AS (SELECT flight, {PLOT_SQL} AS plot, {fit} FROM px4 WHERE {PLOT_SQL} <= {n} GROUP BY 1, 2),
+c AS (SELECT flight, {coef} FROM (SELECT *, CASE plot WHEN 1 THEN 0.5 ELSE 0.2 END AS known FROM p) GROUP BY 1) SELECT flight, y, x, {cols} FROM px4 JOIN c USING (flight)"""
+
+
+def _calibrated(spark, sf_dir, known: list[float], **kw) -> DataFrame:
+    px, dn = _panels(spark, sf_dir, len(known))
+    fit = panels.fit_coefficients(dn, BANDS4, known, key="flight", **kw)
+    return panels.apply_coefficients(px, fit, key="flight").select("flight", "y", "x", *BANDS4)
 
 
 @query(calib_sql("{b} * k_{b}", 1), 6)
 def calib_gain_only(spark, sf_dir):
-    px, dn = _panels(spark, sf_dir, 1)
-    return panels.apply_coefficients(px, panels.fit_coefficients(dn, BANDS4, [0.5])).select("y", "x", *BANDS4)
+    return _calibrated(spark, sf_dir, [0.5])
 
 
 @query(calib_sql("{b} * g_{b} + o_{b}", 2), 6)
 def calib_empirical_line(spark, sf_dir):
-    px, dn = _panels(spark, sf_dir, 2)
-    return panels.apply_coefficients(px, panels.fit_coefficients(dn, BANDS4, [0.5, 0.2])).select("y", "x", *BANDS4)
+    return _calibrated(spark, sf_dir, [0.5, 0.2])
 
 
 @query(calib_sql("{b} * g_green + o_green", 2), 6)
 def calib_global(spark, sf_dir):
-    px, dn = _panels(spark, sf_dir, 2)
-    return panels.apply_coefficients(px, panels.fit_coefficients(dn, BANDS4, [0.5, 0.2], per_band=False)).select("y", "x", *BANDS4)
+    return _calibrated(spark, sf_dir, [0.5, 0.2], per_band=False)
 
 
 # Images
 
-SOBEL = """sk(dy, dx) AS (SELECT * FROM (VALUES (-1), (0), (1)) AS a(dy), (VALUES (-1), (0), (1)) AS b(dx)),
-sob AS (SELECT a.flight, a.y, a.x, sum(dy * (2 - abs(dx)) * b.nir) AS gx, sum(dx * (2 - abs(dy)) * b.nir) AS gy FROM px4n AS a CROSS JOIN sk JOIN px4n AS b ON b.flight = a.flight AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.nir IS NOT NULL AND b.nir IS NOT NULL GROUP BY ALL),
+def sobel_sql(px: str, v: str) -> str:
+    return f"""sk(dy, dx) AS (SELECT * FROM (VALUES (-1), (0), (1)) AS a(dy), (VALUES (-1), (0), (1)) AS b(dx)),
+sob AS (SELECT a.flight, a.y, a.x, sum(dy * (2 - abs(dx)) * b.{v}) AS gx, sum(dx * (2 - abs(dy)) * b.{v}) AS gy FROM {px} AS a CROSS JOIN sk JOIN {px} AS b ON b.flight = a.flight AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.{v} IS NOT NULL AND b.{v} IS NOT NULL GROUP BY ALL),
 mag AS (SELECT *, sqrt(gx * gx + gy * gy) AS m FROM sob)"""
 
 
+SOBEL = sobel_sql("px4n", "nir")
+
+
 @query(f"WITH {PX4_CTE} SELECT flight, y, x, {rd('2 * red / (green + red + rededge + 1e-9) - green / (green + red + rededge + 1e-9) - rededge / (green + red + rededge + 1e-9)')} AS contrast FROM px4")
 def contrast_exg(spark, sf_dir):
     return fx.px4(spark, sf_dir).pixels.select("flight", "y", "x", segment.contrast_column(["green", "red", "rededge"]).alias("contrast"))
@@ -435,20 +474,33 @@ def sobel_magnitude(spark, sf_dir):
     return sobel(fx.px4(spark, sf_dir, nulls=True).pixels, ["flight"], "nir")
 
 
-@query(f"""WITH {PX4_CTE}, {SOBEL}, b AS (SELECT flight, greatest(1, ceil((degrees(atan2(gy, gx)) - 180 * floor(degrees(atan2(gy, gx)) / 180)) / 5)) AS bin FROM sob),
+def orientation_sql(where: str) -> str:
+    return f"""WITH {PX4_CTE}, {SOBEL}, b AS (SELECT flight, greatest(1, ceil((degrees(atan2(gy, gx)) - 180 * floor(degrees(atan2(gy, gx)) / 180)) / 5)) AS bin FROM mag WHERE {where}),
 c AS (SELECT flight, bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT flight, bin, row_number() OVER (PARTITION BY flight ORDER BY n DESC, bin) AS k FROM c)
-SELECT flight, CAST((bin * 5 - 2.5 + 90) - 180 * floor((bin * 5 - 2.5 + 90) / 180) AS DOUBLE) AS orientation_deg FROM t WHERE k = 1""")
+SELECT flight, CAST((bin * 5 - 2.5 + 90) - 180 * floor((bin * 5 - 2.5 + 90) / 180) AS DOUBLE) AS orientation_deg FROM t WHERE k = 1"""
+
+
+@query(orientation_sql("m > 1e-9"))
 def orientation_mode(spark, sf_dir):
     return segment.orientation(fx.px4(spark, sf_dir, nulls=True).pixels, ["flight"], "nir")
 
 
+@query(orientation_sql("TRUE"))
+def orientation_mode_reference(spark, sf_dir):
+    return segment.orientation(fx.px4(spark, sf_dir, nulls=True).pixels, ["flight"], "nir", compat="reference")
+
+
 KERNEL = segment.kernel(1.0)
-GAPS = f"""dim AS (SELECT flight, max(y) + 1 AS nr, max(x) + 1 AS nc FROM px4n GROUP BY 1),
-pr AS (SELECT flight, 'y' AS axis, y AS at, sum(coalesce(nir, 0)) / any_value(nc) AS mean FROM px4n JOIN dim USING (flight) GROUP BY flight, y UNION ALL SELECT flight, 'x', x, sum(coalesce(nir, 0)) / any_value(nr) FROM px4n JOIN dim USING (flight) GROUP BY flight, x),
+def gaps_sql(px: str, v: str) -> str:
+    return f"""dim AS (SELECT flight, max(y) + 1 AS nr, max(x) + 1 AS nc FROM {px} GROUP BY 1),
+pr AS (SELECT flight, 'y' AS axis, y AS at, sum(coalesce({v}, 0)) / any_value(nc) AS mean FROM {px} JOIN dim USING (flight) GROUP BY flight, y UNION ALL SELECT flight, 'x', x, sum(coalesce({v}, 0)) / any_value(nr) FROM {px} JOIN dim USING (flight) GROUP BY flight, x),
 ke(o, w) AS (VALUES {", ".join(f"({k - 3}, {w!r}::DOUBLE)" for k, w in enumerate(KERNEL))}),
 sm AS (SELECT a.flight, a.axis, a.at, CASE WHEN count(b.mean) = 7 THEN sum(w * b.mean) ELSE any_value(a.mean) END AS smooth FROM pr AS a CROSS JOIN ke LEFT JOIN pr AS b ON b.flight = a.flight AND b.axis = a.axis AND b.at = a.at + o GROUP BY a.flight, a.axis, a.at),
 gl AS (SELECT sm.*, smooth < quantile_cont(smooth, 0.2) OVER (PARTITION BY flight, axis) AS gap FROM sm),
-pg AS (SELECT px4n.flight, px4n.y, px4n.x, CAST(r.gap OR c.gap AS INT) AS gap FROM px4n JOIN gl AS r ON r.flight = px4n.flight AND r.axis = 'y' AND r.at = y JOIN gl AS c ON c.flight = px4n.flight AND c.axis = 'x' AND c.at = x),
+pg AS (SELECT {px}.flight, {px}.y, {px}.x, CAST(r.gap OR c.gap AS INT) AS gap FROM {px} JOIN gl AS r ON r.flight = {px}.flight AND r.axis = 'y' AND r.at = y JOIN gl AS c ON c.flight = {px}.flight AND c.axis = 'x' AND c.at = x)"""
+
+
+GAPS = gaps_sql("px4n", "nir") + """,
 gg AS (SELECT flight, y, x, CAST(m > (avg(m) OVER (PARTITION BY flight)) + (stddev_samp(m) OVER (PARTITION BY flight)) AS INT) AS gap FROM mag)"""
 
 
@@ -467,66 +519,96 @@ def combined_gaps(spark, sf_dir):
     return segment.gap_mask(fx.px4(spark, sf_dir, nulls=True).pixels, "combined", ["flight"], "nir", 1.0).select("flight", "y", "x", "gap")
 
 
-@query(f"""WITH RECURSIVE {PX4_CTE}, f AS (SELECT y, x, (green + red + rededge + nir) / 4 AS b FROM px4 WHERE flight = 1),
-c AS (SELECT y, x FROM f WHERE b >= (SELECT quantile_cont(b, 0.92) - 1e-12 FROM f)), reach(y, x, l) AS (SELECT y, x, CAST(y AS BIGINT) * 4294967296 + x FROM c
-UNION SELECT c.y, c.x, r.l FROM reach AS r JOIN c ON abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1) SELECT y, x, min(l) AS label FROM reach GROUP BY ALL""")
+BRIGHT = f"""WITH RECURSIVE {PX4_CTE}, f AS (SELECT *, (green + red + rededge + nir) / 4 AS b FROM px4),
+q AS (SELECT flight, quantile_cont(b, 0.92) - 1e-12 AS low FROM f GROUP BY 1), c AS MATERIALIZED (SELECT f.* FROM f JOIN q USING (flight) WHERE b >= low),
+nb AS MATERIALIZED (SELECT a.flight, a.y, a.x, b.y AS y2, b.x AS x2 FROM c AS a, range(-1, 2) AS dy(dy), range(-1, 2) AS dx(dx), c AS b WHERE b.flight = a.flight AND b.y = a.y + dy AND b.x = a.x + dx),
+reach(flight, y, x, l) AS (SELECT flight, y, x, CAST(y AS BIGINT) * 4294967296 + x FROM c UNION SELECT nb.flight, nb.y2, nb.x2, r.l FROM reach AS r JOIN nb USING (flight, y, x)),
+lb AS (SELECT flight, y, x, min(l) AS label FROM reach GROUP BY ALL)"""
+
+
+@query(BRIGHT + " SELECT * FROM lb")
 def components_8(spark, sf_dir):
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
-    labels = label_cells(panels.bright_cells(px, BANDS4), [])
-    return labels.select("y", "x", "label")
+    return label_cells(panels.bright_cells(fx.px4(spark, sf_dir).pixels, BANDS4, keys=["flight"]), ["flight"])
 
 
-PATCHES = f"""WITH RECURSIVE {PX4_CTE}, f AS (SELECT *, (green + red + rededge + nir) / 4 AS b FROM px4 WHERE flight = 1),
-c AS (SELECT * FROM f WHERE b >= (SELECT quantile_cont(b, 0.92) - 1e-12 FROM f)), reach(y, x, l) AS (SELECT y, x, CAST(y AS BIGINT) * 4294967296 + x FROM c
-UNION SELECT c.y, c.x, r.l FROM reach AS r JOIN c ON abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1), lb AS (SELECT y, x, min(l) AS label FROM reach GROUP BY ALL),
-p AS (SELECT label, CAST(count(*) AS DOUBLE) AS area_m2, avg(green) AS green, avg(red) AS red, avg(rededge) AS rededge, avg(nir) AS nir FROM lb JOIN c USING (y, x) GROUP BY 1 HAVING count(*) BETWEEN 1 AND 50),
-q AS (SELECT *, (green + red + rededge + nir) / 4 AS brightness, list_aggregate([green, red, rededge, nir], 'stddev_samp') / ((green + red + rededge + nir) / 4) AS cv FROM p),
-t AS (SELECT *, round_even(greatest(0, least(1, 1 - cv / 2.0)), 3) AS confidence, round_even(cv, 4) AS spectral_cv FROM q),
-top AS (SELECT *, 'panel_' || row_number() OVER (ORDER BY CAST(spectral_cv <= 2 AS INT) DESC, confidence DESC, label) AS panel_id FROM t QUALIFY row_number() OVER (ORDER BY CAST(spectral_cv <= 2 AS INT) DESC, confidence DESC, label) <= 3)"""
+PATCHES = BRIGHT + """, p AS (SELECT flight, label, CAST(count(*) AS DOUBLE) AS area_m2, avg(green) AS green, avg(red) AS red, avg(rededge) AS rededge, avg(nir) AS nir FROM lb JOIN c USING (flight, y, x) GROUP BY ALL HAVING count(*) BETWEEN 1 AND 50),
+cv AS (SELECT *, (green + red + rededge + nir) / 4 AS brightness, list_aggregate([green, red, rededge, nir], 'stddev_samp') / ((green + red + rededge + nir) / 4) AS cv FROM p),
+t AS (SELECT *, round_even(greatest(0, least(1, 1 - cv / 2.0)), 3) AS confidence, round_even(cv, 4) AS spectral_cv FROM cv),
+k AS (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY CAST(spectral_cv <= 2 AS INT) DESC, confidence DESC, label) AS k FROM t),
+top AS (SELECT *, 'panel_' || k AS panel_id FROM k WHERE k <= 3)"""
 
 
 def _panels_found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
-    return px, panels.detect_panels(px, BANDS4, FIELD, 3, (1.0, 50.0), flatness=2.0)
+    px = fx.px4(spark, sf_dir).pixels
+    return px, panels.detect_panels(px, BANDS4, FIELD, 3, (1.0, 50.0), flatness=2.0, keys=["flight"])
 
 
-@query(PATCHES + f" SELECT panel_id, {rd('brightness')} AS brightness, {rd('spectral_cv')} AS spectral_cv, area_m2, {rd('confidence')} AS confidence FROM top")
+@query(PATCHES + f" SELECT flight, panel_id, {rd('brightness')} AS brightness, {rd('spectral_cv')} AS spectral_cv, area_m2, {rd('confidence')} AS confidence FROM top")
 def panels_detect(spark, sf_dir):
-    return _panels_found(spark, sf_dir)[1].drop("mean_dn", "ring")
+    return _panels_found(spark, sf_dir)[1].drop("mean_dn", "ring", "parts")
 
 
-@query(PATCHES + " SELECT panel_id, CAST(x AS DOUBLE) AS x, round(v, 9) + 0.0 AS mean_dn FROM (SELECT panel_id, unnest([550.0, 660.0, 735.0, 790.0]) AS x, unnest([green, red, rededge, nir]) AS v FROM top)")
+@query(PATCHES + " SELECT flight, panel_id, CAST(x AS DOUBLE) AS x, round(v, 9) + 0.0 AS mean_dn FROM (SELECT flight, panel_id, unnest([550.0, 660.0, 735.0, 790.0]) AS x, unnest([green, red, rededge, nir]) AS v FROM top)")
 def panel_spectra(spark, sf_dir):
     px, found = _panels_found(spark, sf_dir)
-    return views.panel_qc_plot(px, found, list(BANDS4), list(fx.PX4_NM))["spectra"]
+    return views.panel_qc_plot(px, found, list(BANDS4), list(fx.PX4_NM), keys=["flight"])["spectra"]
+
+
+FINE = Grid(10_000, fx.WIDTH, 0.0, 0.0, 0.1)
+CELL = FINE.res**2
+# Profile gaps are whole lines, so patches are what lies between two gap rows and two gap columns. Distances
+# from an outline are those from the unit sides of its cells, in cells.
+SEGMENTED = f"""seg AS (SELECT flight, y, x, green, (nir - red) / (nir + red + 1e-9) AS c FROM px4), {gaps_sql("seg", "c")},
+run AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY flight, axis ORDER BY gl.at) AS run FROM gl),
+bl AS MATERIALIZED (SELECT seg.flight, y, x, c, min(CAST(y AS BIGINT) * 4294967296 + x) OVER (PARTITION BY seg.flight, a.run, b.run) AS label
+FROM seg JOIN run AS a ON a.flight = seg.flight AND a.axis = 'y' AND a.at = y AND NOT a.gap JOIN run AS b ON b.flight = seg.flight AND b.axis = 'x' AND b.at = x AND NOT b.gap),
+patch AS (SELECT flight, label, count(*) * {CELL!r}::DOUBLE AS area_m2, avg(x) AS cx, -avg(y) AS north, min(x) AS x0, min(y) AS y0 FROM bl GROUP BY ALL HAVING count(*) * {CELL!r}::DOUBLE >= 0.05),
+span AS (SELECT *, count(*) OVER f AS n, min(cx) OVER f AS cl, max(cx) OVER f AS ch, min(north) OVER f AS nl, max(north) OVER f AS nh FROM patch WINDOW f AS (PARTITION BY flight)),
+bin AS (SELECT *, coalesce(greatest(1, least(b, ceil((north - nl) / nullif((nh - nl) / b, 0)))), ceil(b / 2)) AS r, coalesce(greatest(1, least(b, ceil((cx - cl) / nullif((ch - cl) / b, 0)))), ceil(b / 2)) AS col FROM (SELECT *, greatest(2, least(30, n)) AS b FROM span)),
+plot AS MATERIALIZED (SELECT *, CAST(max(r) OVER (PARTITION BY flight) + 1 - r AS INT) AS row_idx, CAST(col AS INT) AS col_idx, 'P' || lpad(CAST(row_number() OVER (PARTITION BY flight ORDER BY label) AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INT), '0') AS plot_id FROM bin),
+kept AS (SELECT bl.* FROM bl JOIN plot USING (flight, label)),
+turn(dy, dx, ey, ex, flat) AS (VALUES (-1, 0, 0, 0, TRUE), (1, 0, 1, 0, TRUE), (0, -1, 0, 0, FALSE), (0, 1, 0, 1, FALSE)),
+side AS MATERIALIZED (SELECT a.flight, a.label, a.y + ey AS ey, a.x + ex AS ex, flat FROM kept AS a CROSS JOIN turn LEFT JOIN kept AS b ON b.flight = a.flight AND b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.x IS NULL),
+near AS MATERIALIZED (SELECT side.flight, side.label, seg.y, seg.x, {FINE.res!r}::DOUBLE * min(CASE WHEN flat THEN sqrt(pow(greatest(ex - seg.x - 0.5, 0, seg.x + 0.5 - ex - 1), 2) + pow(seg.y + 0.5 - ey, 2)) ELSE sqrt(pow(greatest(ey - seg.y - 0.5, 0, seg.y + 0.5 - ey - 1), 2) + pow(seg.x + 0.5 - ex, 2)) END) AS dist
+FROM side, range(-3, 4) AS dy(dy), range(-3, 4) AS dx(dx), seg WHERE seg.flight = side.flight AND seg.y = ey + dy AND seg.x = ex + dx GROUP BY ALL)"""
 
 
 def _segmented(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1")
-    return px, segment.segment_plots(px, BANDS4, FIELD, fx.PX4_NM, sigma=1.0)
+    px = fx.px4(spark, sf_dir).pixels
+    return px, segment.segment_plots(px, BANDS4, FINE, fx.PX4_NM, sigma=1.0, min_area_m2=0.05, keys=["flight"])
 
 
-@query()
+@query(f"""WITH {PX4_CTE}, {SEGMENTED},
+gf AS (SELECT flight, label, avg(gap) AS gap_frac FROM near JOIN pg USING (flight, y, x) WHERE dist <= 0.2 GROUP BY ALL),
+inn AS (SELECT kept.flight, kept.label, avg(c) AS v FROM kept LEFT JOIN near USING (flight, label, y, x) WHERE coalesce(dist, 9) >= 0.1 GROUP BY ALL)
+SELECT flight, plot_id, row_idx, col_idx, {rd("area_m2")} AS area_m2, {rd("area_m2")} AS ring_area_m2,
+CASE WHEN gap_frac IS NULL OR v IS NULL THEN 0.5 ELSE {rd("round_even(greatest(0, least(1, 0.5 * least(gap_frac * 2, 1) + 0.5 * least(v + 0.5, 1))), 3)")} END AS quality
+FROM plot LEFT JOIN gf USING (flight, label) LEFT JOIN inn USING (flight, label)""")
 def segment_plots(spark, sf_dir):
-    return _segmented(spark, sf_dir)[1]
+    return segment.outlines(_segmented(spark, sf_dir)[1]).drop("ring", "parts")
 
 
-@query()
+@query(f"""WITH {PX4_CTE}, {SEGMENTED}, {sobel_sql("seg", "green")}, lim AS (SELECT flight, min(m) AS lo, max(m) AS hi FROM mag GROUP BY 1),
+edge AS (SELECT flight, y, x FROM mag JOIN lim USING (flight) WHERE (m - lo) / (hi - lo + 1e-9) >= 0.2),
+ce AS (SELECT flight, label, count(*) AS n, avg((x + 0.5) * {FINE.res!r}::DOUBLE) AS ex, -avg((y + 0.5) * {FINE.res!r}::DOUBLE) AS ey FROM near JOIN edge USING (flight, y, x) WHERE dist <= 0.3 GROUP BY ALL),
+d AS (SELECT p.flight, plot_id, x0, y0, ce.n, ex - (cx + 0.5) * {FINE.res!r}::DOUBLE AS dx, ey - (north - 0.5) * {FINE.res!r}::DOUBLE AS dy FROM plot AS p LEFT JOIN ce ON ce.flight = p.flight AND ce.label = p.label),
+m AS (SELECT *, CASE WHEN n >= 4 THEN least(sqrt(dx * dx + dy * dy), 0.3) ELSE 0 END AS moved, CASE WHEN n >= 4 THEN coalesce(least(sqrt(dx * dx + dy * dy), 0.3) / nullif(sqrt(dx * dx + dy * dy), 0), 0) ELSE 0 END AS k FROM d)
+SELECT flight, plot_id, round(x0 * {FINE.res!r}::DOUBLE + coalesce(dx * k, 0), 6) + 0.0 AS west, round(-y0 * {FINE.res!r}::DOUBLE + coalesce(dy * k, 0), 6) + 0.0 AS north, round(round_even(moved, 3), 6) + 0.0 AS shift_m FROM m""", 6)
 def refine_plot_boundaries(spark, sf_dir):
     px, found = _segmented(spark, sf_dir)
-    return segment.refine_plot_boundaries(found, px, "green", FIELD, max_shift_m=1.5)
-
-
-HALF = Grid(40, 10, 0.25, -0.5, 1.5)
+    moved = segment.refine_plot_boundaries(found, px, "green", FINE, keys=["flight"])
+    return moved.select("flight", "plot_id", F.array_min(F.transform("ring", lambda p: p["x"])).alias("west"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("north"), "shift_m")
 
 
-@query(f"""WITH {PX4_CTE}, t AS (SELECT CAST(v AS INT) AS y, CAST(u AS INT) AS x, 0.25 + (u + 0.5) * 1.5 - 0.5 AS sx, 0.5 + (v + 0.5) * 1.5 - 0.5 AS sy FROM range(40) AS a(v), range(10) AS b(u)),
+@query(f"""WITH {PX4_CTE}, n AS (SELECT CAST(floor((max(y) + 1) / 1.5) + 1 AS BIGINT) AS n FROM px4), t AS (SELECT CAST(v AS INT) AS y, CAST(u AS INT) AS x, 0.25 + (u + 0.5) * 1.5 - 0.5 AS sx, 0.5 + (v + 0.5) * 1.5 - 0.5 AS sy FROM (SELECT unnest(range(n)) AS v FROM n), range(13) AS b(u)),
 k AS (SELECT * FROM (VALUES (0), (1)) AS a(dy), (VALUES (0), (1)) AS b(dx)),
-j AS (SELECT t.y, t.x, nir, (1 - abs(sx - px4.x)) * (1 - abs(sy - px4.y)) AS w FROM t CROSS JOIN k JOIN px4 ON px4.flight = 1 AND px4.y = floor(sy) + dy AND px4.x = floor(sx) + dx)
-SELECT y, x, CASE WHEN abs(sum(w) - 1) < 1e-6 THEN {rd("sum(w * nir)", 12)} END AS nir FROM j WHERE w > 0 GROUP BY ALL""", 12)
+j AS (SELECT flight, t.y, t.x, nir, (1 - abs(sx - px4.x)) * (1 - abs(sy - px4.y)) AS w FROM t CROSS JOIN k JOIN px4 ON px4.y = floor(sy) + dy AND px4.x = floor(sx) + dx)
+SELECT flight, y, x, CASE WHEN abs(sum(w) - 1) < 1e-6 THEN {rd("sum(w * nir)", 12)} END AS nir FROM j WHERE w > 0 GROUP BY ALL""", 12)
 def resample_bilinear(spark, sf_dir):
-    px = fx.px4(spark, sf_dir).pixels.where("flight = 1").select("y", "x", "nir")
-    return resample(px, FIELD, HALF, ["nir"])
+    """All flights on cells of one and a half metres over the whole field."""
+    n_row = 5 * _blocks(spark, sf_dir).n_row
+    px = fx.px4(spark, sf_dir).pixels.select("flight", "y", "x", "nir")
+    return resample(px, FIELD, Grid(int(n_row / 1.5) + 1, 13, 0.25, -0.5, 1.5), ["nir"], ["flight"])
 
 
 @query(f"WITH {VI_CTE}, d AS (SELECT plot_id, avg(auc) AS a, count(auc) AS n FROM (SELECT printf('P%03d', {PLOT_SQL}) AS plot_id, auc FROM ({auc_sql().replace('WITH ' + VI_CTE + ',', 'WITH').replace('round(sum((v + v2) / 2 * (t2 - t)), 9) + 0.0', 'sum((v + v2) / 2 * (t2 - t))')})) GROUP BY 1) SELECT plot_id, {rd('a')} AS mean_auc, n AS n_pixels FROM d")

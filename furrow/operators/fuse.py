@@ -13,8 +13,8 @@ def fuse_ground(vi: DataFrame, truth: DataFrame, traits: Sequence[str] | None =
 
     truth: plot_id, date, traits and, for ties, seq (its input order): of equally near rows the first
     counts. Rows beyond max_lag_days go. A plot without any truth goes too, or stays with NULL traits
-    if allow_missing. Both tables meet in one pass over each plot's dates, so a plot with many truth
-    rows costs no more than their number.
+    if allow_missing. Both tables meet in one pass over each plot's dates either way, so a plot with many
+    truth rows costs no more than their number.
     """
     traits = [c for c in truth.columns if c not in ("plot_id", "date", "seq")] if traits is None else list(traits)
     if missing := [c for c in ("plot_id", "date", *traits) if c not in truth.columns]:
@@ -24,9 +24,9 @@ def fuse_ground(vi: DataFrame, truth: DataFrame, traits: Sequence[str] | None =
     first = order.groupBy("plot_id", "date").agg(F.min_by("g", F.col("g.seq")).alias("g"))  # of a day, the first
     rows = vi.select("plot_id", F.col("flight_date").alias("date"), F.struct(*vi.columns).alias("v"))
     both = rows.unionByName(first, allowMissingColumns=True)
-    w = Window.partitionBy("plot_id").orderBy("date")
-    before = F.last("g", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("g", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames grow from their begin, so each is one pass; frames that shrink would be read anew for every row.
+    up_to = lambda order: F.last("g", ignorenulls=True).over(Window.partitionBy("plot_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    before, after = up_to(F.asc("date")), up_to(F.desc("date"))
     met = both.select("v", "date", before.alias("a"), after.alias("z")).where("v is not null")
     lag = lambda c: F.abs(F.datediff(F.col(f"{c}.d"), F.col("date")))
     second = F.col("a").isNull() | (lag("z") < lag("a")) | ((lag("z") == lag("a")) & (F.col("z.seq") < F.col("a.seq")))

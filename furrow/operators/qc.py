@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -87,3 +88,17 @@ def flight_qc(pixels: DataFrame, bands: Sequence[str], params: QCParams = QCPara
 def qc_counts(summary: DataFrame) -> DataFrame:
     """recommendation, flights and the labels of each."""
     return summary.groupBy("recommendation").agg(F.count("*").alias("flights"), F.array_sort(F.collect_list("label")).alias("labels"))
+
+
+def describe(summary: DataFrame, show: int = 20) -> str:
+    """What is to be printed of a QC summary: how many flights have which recommendation, and the rejected
+    ones by label (the first ``show``), of which a warning tells too."""
+    counts = {r["recommendation"]: r["flights"] for r in summary.groupBy("recommendation").agg(F.count("*").alias("flights")).collect()}
+    lines = ["Flights checked: " + str(sum(counts.values())), *[f"  {k}: {counts.get(k, 0)}" for k in ("Accept", "Caution", "Reject")]]
+    rejected = [r["label"] for r in summary.where("recommendation = 'Reject'").orderBy("label").select("label").limit(show).collect()]
+    if rejected:
+        more = counts["Reject"] - len(rejected)
+        named = ", ".join(map(str, rejected)) + (f" and {more} more" if more else "")
+        warnings.warn(f"rejected flights: {named}", stacklevel=2)
+        lines.append("Rejected: " + named)
+    return "\n".join(lines)

@@ -23,7 +23,8 @@ def window_means(vi: VIStack, located: DataFrame, index: str) -> DataFrame:
 
     A pixel has an integral if it has a value on every flight of the window. One aggregate gathers a
     pixel's values by flight in one array; running sums of the trapezoids and of missing values turn
-    every window into a difference, and windows of a pixel meet in their plot's partial mean at once.
+    every window into a difference. The windows come from sequences, not from the plan, and are made per
+    plot and set of missing flights, not per pixel.
     """
     n, t = len(vi.flights), days(list(vi.flights))
     values = located.groupBy("plot_id", *vi.keys).agg(F.map_from_entries(F.collect_list(F.struct("flight", index))).alias("m"))
@@ -32,11 +33,14 @@ def window_means(vi: VIStack, located: DataFrame, index: str) -> DataFrame:
     segment = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.coalesce((F.element_at("a", k) + F.element_at("a", k + 1)) * F.element_at(halves, k), F.lit(0.0)))
     grow = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
     sums = values.select("plot_id", F.aggregate(segment, F.array(F.lit(0.0)), grow).alias("c"), F.aggregate(F.transform("a", lambda v: v.isNull().cast("int")), F.array(F.lit(0)), grow).alias("n"))
-    windows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, n + 1) for j in range(i + 1, n + 1)])
-    valid = lambda w: F.element_at("n", w["j"] + 1) == F.element_at("n", w["i"])
-    area = lambda w: F.when(valid(w), F.element_at("c", w["j"]) - F.element_at("c", w["i"]))
-    each = sums.select("plot_id", F.explode(F.transform(windows, lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), area(w).alias("v")))).alias("w"))
-    return each.groupBy("plot_id", "w.i", "w.j").agg(F.avg("w.v").alias("v")).select("plot_id", "i", "j", "v")
+    # Pixels of a plot with the same flights missing have the same windows: their running sums add up first.
+    alike = sums.groupBy("plot_id", "n").agg(F.count("*").alias("k"), *[F.sum(F.element_at("c", j)).alias(f"c{j}") for j in range(1, n + 1)])
+    alike = alike.select("plot_id", "n", "k", F.array(*[f"c{j}" for j in range(1, n + 1)]).alias("c"))
+    area = lambda i, j: F.when(F.element_at("n", j + 1) == F.element_at("n", i), F.element_at("c", j) - F.element_at("c", i))
+    to = lambda i: F.transform(F.sequence(i + 1, F.lit(n)), lambda j: F.struct(i.alias("i"), j.alias("j"), area(i, j).alias("v")))
+    each = alike.select("plot_id", "k", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), to))).alias("w"))
+    held = F.when(F.col("w.v").isNotNull(), F.col("k"))
+    return each.groupBy("plot_id", "w.i", "w.j").agg(F.try_divide(F.sum("w.v"), F.sum(held)).alias("v")).select("plot_id", "i", "j", "v")
 
 
 def ranked(df: DataFrame, col: str) -> F.Column:
@@ -46,15 +50,20 @@ def ranked(df: DataFrame, col: str) -> F.Column:
 
 
 def correlate(means: DataFrame, truth: DataFrame, trait: str, method: str = "pearson") -> DataFrame:
-    """i, j, r, n_plots (joined rows) and n (complete pairs) of windows with at least three rows."""
+    """i, j, r, n_plots (joined rows), n (complete pairs) and tied (spearman: whether values repeat) of
+    windows with at least three rows."""
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be pearson or spearman")
     met = means.join(truth.select("plot_id", F.col(trait).cast("double").alias("t")), "plot_id")
     rows = met.groupBy("i", "j").agg(F.count("*").alias("n_plots"))
     pairs = met.where("v is not null and t is not null")
+    tied = F.lit(None).cast("boolean")
     if method == "spearman":
         pairs = pairs.select("i", "j", ranked(pairs, "v").alias("v"), ranked(pairs, "t").alias("t"))
-    r = pairs.groupBy("i", "j").agg(pearson("v", "t").alias("r"), F.count("*").alias("n"))
+        # Ranks 1 to n without ties have the largest sum of squares.
+        whole = F.count("*") * (F.count("*") + 1) * (2 * F.count("*") + 1) / 6
+        tied = (F.sum(F.col("v") * F.col("v")) < whole) | (F.sum(F.col("t") * F.col("t")) < whole)
+    r = pairs.groupBy("i", "j").agg(pearson("v", "t").alias("r"), F.count("*").alias("n"), tied.alias("tied"))
     return rows.where("n_plots >= 3").join(r, ["i", "j"], "left")
 
 
@@ -62,6 +71,7 @@ def optimal_window(vi: VIStack, truth: DataFrame, trait: str, located: DataFrame
     """The n_top flights and windows by |r|: type, date_from, date_to, r, r2, p_value, n_plots.
 
     located: vi's pixels with plot_id. Ties keep their order: single flights by date, then windows.
+    p-values are Student's t, for ranks without ties those of Spearman's statistic.
     """
     if "plot_id" not in truth.columns or trait not in truth.columns:
         raise ValueError(f"ground truth needs plot_id and {trait}")
@@ -73,4 +83,4 @@ def optimal_window(vi: VIStack, truth: DataFrame, trait: str, located: DataFrame
     r = correlate(means, truth, trait, method)
     kind = F.when(F.col("i") == F.col("j"), "single").otherwise("window")
     top = r.orderBy(F.desc_nulls_last(F.abs("r")), kind, "i", "j").limit(n_top)
-    return top.select(kind.alias("type"), lookup("i", dates).alias("date_from"), lookup("j", dates).alias("date_to"), "r", (F.col("r") * F.col("r")).alias("r2"), correlation_p_udf("r", F.coalesce("n", F.lit(0))).alias("p_value"), "n_plots")
+    return top.select(kind.alias("type"), lookup("i", dates).alias("date_from"), lookup("j", dates).alias("date_to"), "r", (F.col("r") * F.col("r")).alias("r2"), correlation_p_udf("r", F.coalesce("n", F.lit(0)), ~F.coalesce("tied", F.lit(True))).alias("p_value"), "n_plots")

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import divide
+from ..plans.storage import materialize
 from .components import label_cells
-from .plots import ring_area
+from .outline import outlines as outlines_of
 from .resample import Grid
 from .stencil import sobel
-from .zonal import join_polygons
+from .zonal import all_sides, join_polygons
 
 METHODS = ("profile", "gradient", "combined")
 SMALL = 1e-9
@@ -37,13 +38,16 @@ def contrast_column(bands: Sequence[str], wavelengths: Sequence[float] | None =
     return c[0]
 
 
-def orientation(pixels: DataFrame, keys: Sequence[str] = (), value: str = "contrast") -> DataFrame:
+def orientation(pixels: DataFrame, keys: Sequence[str] = (), value: str = "contrast", compat: str = "intent") -> DataFrame:
     """keys, orientation_deg: across the most frequent gradient direction, in bins of five degrees.
 
     Bins are closed on the right and the first includes zero; of equally full ones the first counts.
+    compat: flat cells have no direction and don't count (``intent``), or count as zero (``reference``).
     """
     keys = list(keys)
     g = sobel(pixels, keys, value)
+    if compat == "intent":
+        g = g.where(F.col("magnitude") > SMALL)
     angle = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
     bins = g.select(*keys, F.greatest(F.lit(1), F.ceil(angle / 5)).cast("int").alias("bin")).groupBy(*keys, "bin").count()
     top = bins.groupBy(*keys).agg(F.max(F.struct("count", (-F.col("bin")).alias("b"))).alias("t"))
@@ -122,80 +126,102 @@ def gap_mask(pixels: DataFrame, method: str = "profile", keys: Sequence[str] = (
     return both.select(*pixels.columns, F.greatest("gap", "steep").alias("gap"))
 
 
-def binned(v: str, n: Column) -> Column:
-    """Which of n equal-width bins over all rows holds v; bins are closed on the right."""
-    w = Window.partitionBy(F.lit(0))
-    low, high = F.min(v).over(w), F.max(v).over(w)
-    return F.coalesce(F.greatest(F.lit(1), F.least(n, F.ceil(F.try_divide(F.col(v) - low, (high - low) / n)))), F.ceil(n / 2)).cast("int")
+def binned(v: str, low: str, high: str, n: Column) -> Column:
+    """Which of n equal-width bins from low to high holds v; bins are closed on the right."""
+    return F.coalesce(F.greatest(F.lit(1), F.least(n, F.ceil(F.try_divide(F.col(v) - F.col(low), (F.col(high) - F.col(low)) / n)))), F.ceil(n / 2)).cast("int")
 
 
-def plot_polygons(masked: DataFrame, grid: Grid, min_area_m2: float = 1.0, expected_rows: int | None = None, expected_cols: int | None = None, prefix: str = "P", compat: str = "intent") -> DataFrame:
-    """plot_id, row_idx, col_idx, area_m2, quality (NULL), ring from the cells outside gaps.
+def plot_polygons(masked: DataFrame, grid: Grid, min_area_m2: float = 1.0, expected_rows: int | None = None, expected_cols: int | None = None, prefix: str = "P", compat: str = "intent", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, plot_id, row_idx, col_idx, area_m2, quality (NULL), ring, parts from the cells outside gaps.
 
-    compat: ``intent`` makes a plot of each patch of joined cells, its ring the patch's box;
-    ``reference`` one of all cells. Plots are numbered by their first cell; row 1 is north.
+    compat: ``intent`` makes a plot of each patch of joined cells, its ring and parts the patch's outline;
+    ``reference`` one of all cells. Plots of a raster are numbered by their first cell; row 1 is north. It
+    is an error if no plot is large enough.
     """
-    cells = masked.where(F.coalesce("gap", F.lit(0)) != 1).select("y", "x")
-    labels = cells.withColumn("label", F.lit(0).cast("long")) if compat == "reference" else label_cells(cells, [])
-    patch = labels.groupBy("label").agg(F.count("*").alias("cells"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), *[f(c).alias(f"{c}{k}") for c in "xy" for f, k in ((F.min, 0), (F.max, 1))])
-    patch = patch.withColumn("area_m2", F.col("cells") * grid.res**2).where(F.col("area_m2") >= min_area_m2)
-    # Plots are few: one task may hold a row of each.
-    every = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(every)
-    bins = lambda wanted: F.greatest(F.lit(2), F.lit(wanted) if wanted else F.least(F.lit(30), n)).cast("int")
-    patch = patch.withColumn("n", n).withColumn("north", -F.col("cy")).withColumn("r", binned("north", bins(expected_rows))).withColumn("col_idx", binned("cx", bins(expected_cols)))
-    patch = patch.withColumn("row_idx", (F.max("r").over(every) + 1 - F.col("r")).cast("int"))
-    number = F.row_number().over(every.orderBy("label"))
+    keys = list(keys)
+    cells = masked.where(F.coalesce("gap", F.lit(0)) != 1).select(*keys, "y", "x")
+    labels = materialize(cells.withColumn("label", F.lit(0).cast("long")) if compat == "reference" else label_cells(cells, keys))
+    patch = labels.groupBy(*keys, "label").agg(F.count("*").alias("cells"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    patch = patch.withColumn("area_m2", F.col("cells") * grid.res**2).where(F.col("area_m2") >= min_area_m2).withColumn("north", -F.col("cy"))
+    patch = materialize(patch)
+    if patch.isEmpty():
+        raise ValueError(f"no plots of at least {min_area_m2} m2 were found; lower the area or change the method")
+    size = patch.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("north", "cx") for f, k in ((F.min, "low"), (F.max, "high"))])
+    patch = patch.join(F.broadcast(size), keys) if keys else patch.join(F.broadcast(size))  # a row per raster
+    bins = lambda wanted: F.greatest(F.lit(2), F.lit(wanted) if wanted else F.least(F.lit(30), F.col("n"))).cast("int")
+    patch = patch.withColumn("r", binned("north", "north_low", "north_high", bins(expected_rows))).withColumn("col_idx", binned("cx", "cx_low", "cx_high", bins(expected_cols)))
+    # Plots of a raster are few: one task may hold a row of each.
+    of_raster = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    patch = patch.withColumn("row_idx", (F.max("r").over(of_raster) + 1 - F.col("r")).cast("int"))
+    number = F.row_number().over(of_raster.orderBy("label"))
     plot_id = F.concat(F.lit(prefix), F.lpad(number.cast("string"), F.length(F.col("n").cast("string")), F.lit("0")))
-    corner = lambda x, y: F.struct((F.lit(grid.xmin) + x * grid.res).alias("x"), (F.lit(grid.ymax) - y * grid.res).alias("y"))
-    w, e, no, s = F.col("x0"), F.col("x1") + 1, F.col("y0"), F.col("y1") + 1
-    ring = F.array(corner(w, no), corner(e, no), corner(e, s), corner(w, s), corner(w, no))
-    return patch.select(plot_id.alias("plot_id"), "row_idx", "col_idx", "area_m2", F.lit(None).cast("double").alias("quality"), ring.alias("ring"))
+    found = patch.join(outlines_of(labels, grid, keys), [*keys, "label"])
+    return found.select(*keys, plot_id.alias("plot_id"), "row_idx", "col_idx", "area_m2", F.lit(None).cast("double").alias("quality"), "ring", "parts")
 
 
-def score_quality(plots: DataFrame, masked: DataFrame, grid: Grid, value: str = "contrast") -> DataFrame:
+def score_quality(plots: DataFrame, masked: DataFrame, grid: Grid, value: str = "contrast", keys: Sequence[str] = ()) -> DataFrame:
     """plots with quality from 0 to 1: gaps around the boundary and contrast inside; 0.5 if unknown."""
-    near = join_polygons(masked, plots.select("plot_id", "ring"), grid, margin=0.2, how="all")
+    keys = list(keys)
+    near = join_polygons(masked, plots, grid, margin=0.2, how="all", keys=keys)
     gap = F.avg(F.when((F.col("dist") <= 0.2) & F.col("gap").isNotNull(), (F.col("gap") == 1).cast("double")))
     inner = F.avg(F.when(F.col("held") & (F.col("dist") >= 0.1), F.col(value)))
-    found = near.groupBy("plot_id").agg(gap.alias("gap_frac"), inner.alias("inner"))
+    found = near.groupBy(*keys, "plot_id").agg(gap.alias("gap_frac"), inner.alias("inner"))
     score = 0.5 * F.least(F.col("gap_frac") * 2, F.lit(1.0)) + 0.5 * F.least(F.col("inner") + 0.5, F.lit(1.0))
     score = F.when(F.col("gap_frac").isNotNull() & F.col("inner").isNotNull(), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)).otherwise(0.5)
-    return plots.join(found, "plot_id", "left").withColumn("quality", score).select(*plots.columns)
+    return plots.join(found, [*keys, "plot_id"], "left").withColumn("quality", score).select(*plots.columns)
 
 
-def segment_plots(pixels: DataFrame, bands: Sequence[str], grid: Grid, wavelengths: Sequence[float] | None = None, method: str = "profile", expected_rows: int | None = None, expected_cols: int | None = None, min_area_m2: float = 1.0, sigma: float = 3.0, prefix: str = "P", compat: str = "intent") -> DataFrame:
-    """Plots of one raster: plot_id, row_idx, col_idx, area_m2, quality, ring."""
+def segment_plots(pixels: DataFrame, bands: Sequence[str], grid: Grid, wavelengths: Sequence[float] | None = None, method: str = "profile", expected_rows: int | None = None, expected_cols: int | None = None, min_area_m2: float = 1.0, sigma: float = 3.0, prefix: str = "P", compat: str = "intent", keys: Sequence[str] = ()) -> DataFrame:
+    """Plots of one raster, or of each raster by keys: keys, plot_id, row_idx, col_idx, area_m2, quality, ring, parts."""
     if len(bands) > 3 and wavelengths is None:
         raise ValueError(f"a raster of {len(bands)} bands requires wavelengths")
-    masked = gap_mask(pixels.select("y", "x", contrast_column(bands, wavelengths).alias("contrast")), method, sigma=sigma)
-    return score_quality(plot_polygons(masked, grid, min_area_m2, expected_rows, expected_cols, prefix, compat), masked, grid)
+    masked = materialize(gap_mask(pixels.select(*keys, "y", "x", contrast_column(bands, wavelengths).alias("contrast")), method, keys, sigma=sigma))
+    return score_quality(plot_polygons(masked, grid, min_area_m2, expected_rows, expected_cols, prefix, compat, keys), masked, grid, keys=keys)
+
+
+def edge_cells(pixels: DataFrame, band: str, threshold: float = 0.2, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, y, x of cells whose normalised gradient magnitude reaches the threshold."""
+    keys = list(keys)
+    g = sobel(pixels, keys, band)
+    r = F.broadcast(g.groupBy(*keys).agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi")))  # a row per raster
+    return (g.join(r, keys) if keys else g.join(r)).where((F.col("magnitude") - F.col("lo")) / (F.col("hi") - F.col("lo") + SMALL) >= threshold).select(*keys, "y", "x")
 
 
-def edge_cells(pixels: DataFrame, band: str, threshold: float = 0.2) -> DataFrame:
-    """y, x of cells whose normalised gradient magnitude reaches the threshold."""
-    g = sobel(pixels, [], band)
-    r = g.agg(F.min("magnitude").alias("lo"), F.max("magnitude").alias("hi"))
-    return g.join(F.broadcast(r)).where((F.col("magnitude") - F.col("lo")) / (F.col("hi") - F.col("lo") + SMALL) >= threshold).select("y", "x")
+def centroid(sides: Column) -> tuple[Column, Column]:
+    """The centre of the area within closed rings, by their sides; holes count against it. From the first
+    corner on: coordinates are large."""
+    x0, y0 = F.element_at(sides, 1)["x1"], F.element_at(sides, 1)["y1"]
+    moved = F.transform(sides, lambda s: F.struct((s["x1"] - x0).alias("a"), (s["y1"] - y0).alias("b"), (s["x2"] - x0).alias("c"), (s["y2"] - y0).alias("d")))
+    cross = F.transform(moved, lambda s: F.struct((s["a"] * s["d"] - s["c"] * s["b"]).alias("w"), (s["a"] + s["c"]).alias("x"), (s["b"] + s["d"]).alias("y")))
+    total = lambda f: F.aggregate(F.transform(cross, f), F.lit(0.0), lambda acc, v: acc + v)
+    area = total(lambda s: s["w"])
+    return x0 + F.try_divide(total(lambda s: s["w"] * s["x"]), 3 * area), y0 + F.try_divide(total(lambda s: s["w"] * s["y"]), 3 * area)
 
 
-def refine_plot_boundaries(plots: DataFrame, pixels: DataFrame, band: str, grid: Grid, max_shift_m: float = 0.3, threshold: float = 0.2) -> DataFrame:
+def refine_plot_boundaries(plots: DataFrame, pixels: DataFrame, band: str, grid: Grid, max_shift_m: float = 0.3, threshold: float = 0.2, keys: Sequence[str] = ()) -> DataFrame:
     """plots moved towards the centre of the edges near their boundary, and shift_m.
 
     A plot with fewer than four edge cells within max_shift_m of its boundary stays.
     """
-    near = join_polygons(edge_cells(pixels, band, threshold), plots.select("plot_id", "ring"), grid, margin=max_shift_m, how="boundary")
-    centre = near.groupBy("plot_id").agg(F.count("*").alias("n"), F.avg("px").alias("ex"), F.avg("py").alias("ey"))
-    met = plots.join(centre, "plot_id", "left")
-    corners = F.slice("ring", 1, F.greatest(F.lit(1), F.size("ring") - 1))
-    mid = lambda k: F.aggregate(corners, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(corners)
-    met = met.withColumn("dx", F.col("ex") - mid("x")).withColumn("dy", F.col("ey") - mid("y")).withColumn("d", F.hypot("dx", "dy"))
-    moved = F.when(F.col("n") >= 4, F.least("d", F.lit(float(max_shift_m)))).otherwise(0.0)
+    keys = list(keys)
+    near = join_polygons(edge_cells(pixels, band, threshold, keys), plots, grid, margin=max_shift_m, how="boundary", keys=keys)
+    centre = near.groupBy(*keys, "plot_id").agg(F.count("*").alias("edge_n"), F.avg("px").alias("ex"), F.avg("py").alias("ey"))
+    met = plots.withColumn("own_sides", all_sides(plots)).join(centre, [*keys, "plot_id"], "left")
+    mx, my = centroid(F.col("own_sides"))
+    met = met.withColumn("dx", F.col("ex") - mx).withColumn("dy", F.col("ey") - my).withColumn("d", F.hypot("dx", "dy"))
+    moved = F.when(F.col("edge_n") >= 4, F.least("d", F.lit(float(max_shift_m)))).otherwise(0.0)
     met = met.withColumn("moved", moved).withColumn("k", F.coalesce(F.try_divide("moved", "d"), F.lit(0.0)))
-    ring = F.transform("ring", lambda p: F.struct((p["x"] + F.coalesce(F.col("dx") * F.col("k"), F.lit(0.0))).alias("x"), (p["y"] + F.coalesce(F.col("dy") * F.col("k"), F.lit(0.0))).alias("y")))
-    return met.withColumn("ring", ring).select(*plots.columns, F.bround("moved", 3).alias("shift_m"))
+    by = {c: F.coalesce(F.col(f"d{c}") * F.col("k"), F.lit(0.0)) for c in "xy"}
+    shifted = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + by["x"]).alias("x"), (p["y"] + by["y"]).alias("y")))
+    met = met.withColumn("ring", shifted(F.col("ring")))
+    if "parts" in plots.columns:
+        met = met.withColumn("parts", F.transform("parts", shifted))
+    return met.select(*plots.columns, F.bround("moved", 3).alias("shift_m"))
 
 
 def outlines(plots: DataFrame) -> DataFrame:
-    """plots with the area of their ring, for views."""
-    return plots.withColumn("ring_area_m2", ring_area(F.col("ring")))
+    """plots with the area of their outline, for views: holes count against it."""
+    own = all_sides(plots)
+    x0, y0 = F.element_at(own, 1)["x1"], F.element_at(own, 1)["y1"]
+    cross = F.transform(own, lambda s: (s["x1"] - x0) * (s["y2"] - y0) - (s["x2"] - x0) * (s["y1"] - y0))
+    return plots.withColumn("ring_area_m2", F.abs(F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v)) / 2)

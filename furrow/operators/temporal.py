@@ -94,6 +94,20 @@ def vi_derivative(vi: VIStack, index: str | None = None, smoothed: bool = False,
     return step.select(*vi.keys, label.alias("interval"), "date_from", "date_to", F.try_divide(F.col("next") - F.col("v"), gap).alias("ddt"))
 
 
+def rate_extremes(rates: DataFrame) -> DataFrame:
+    """kind (fastest, slowest), interval, rate: the intervals of the largest and the least mean rate of
+    change over all pixels (fastest green-up, peak senescence); of equal ones the earlier.
+
+    rates: what vi_derivative returns.
+    """
+    mean = rates.groupBy("interval", "date_from").agg(F.avg("ddt").alias("rate")).where("rate is not null")
+    row = F.struct("interval", "rate")
+    later = F.datediff("date_from", F.lit(date(1970, 1, 1)))
+    both = mean.agg(F.max_by(row, F.struct("rate", -later)).alias("fastest"), F.min_by(row, F.struct("rate", later)).alias("slowest"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("r")) for k in ("fastest", "slowest")]))
+    return both.select(kinds.alias("e")).select("e.kind", "e.r.interval", "e.r.rate").where("interval is not null")
+
+
 def tag_flights(flights: DataFrame, obs: DataFrame, method: str = "nearest") -> DataFrame:
     """flight, flight_date, bbch from observations (seq, date, bbch).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -78,12 +79,12 @@ def plot_segmentation_qc(plots: DataFrame, pixels: DataFrame, bands: list[str],
     return {"grid": grid, "outlines": good.withColumn("label", F.col("plot_id") if few else F.lit(None).cast("string"))}
 
 
-def panel_qc_plot(pixels: DataFrame, panels: DataFrame, bands: list[str], wavelengths: list[float] | None = None) -> dict[str, DataFrame]:
-    """grid (y, x, brightness), outlines and spectra (panel_id, x, mean_dn; x in nm or band number)."""
-    spectra = panels.select("panel_id", F.posexplode("mean_dn").alias("k", "mean_dn"))
+def panel_qc_plot(pixels: DataFrame, panels: DataFrame, bands: list[str], wavelengths: list[float] | None = None, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """grid (keys, y, x, brightness), outlines and spectra (keys, panel_id, x, mean_dn; x in nm or band number)."""
+    spectra = panels.select(*keys, "panel_id", F.posexplode("mean_dn").alias("k", "mean_dn"))
     x = F.element_at(F.array(*[F.lit(float(w)) for w in wavelengths]), F.col("k") + 1) if wavelengths else (F.col("k") + 1).cast("double")
-    grid = pixels.select("y", "x", mean_of([F.col(b) for b in bands]).alias("brightness"))
-    return {"grid": grid, "outlines": panels.select("panel_id", "ring"), "spectra": spectra.select("panel_id", x.alias("x"), "mean_dn")}
+    grid = pixels.select(*keys, "y", "x", mean_of([F.col(b) for b in bands]).alias("brightness"))
+    return {"grid": grid, "outlines": panels.select(*keys, "panel_id", "ring", *(["parts"] if "parts" in panels.columns else [])), "spectra": spectra.select(*keys, "panel_id", x.alias("x"), "mean_dn")}
 
 
 def preview_plot_grid(plots: DataFrame, pixels: DataFrame, bands: list[str], band: int = 1, show_ids: bool | None = None, border_colour: str = "cyan") -> dict[str, DataFrame]:

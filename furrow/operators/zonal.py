@@ -12,6 +12,8 @@ from .plots import PlotGrid
 from .resample import Grid
 from .stack import VIStack
 
+#: Bins that plots lie in on average at most.
+BINS = 100
 STATS = {"mean": "avg", "sd": "stddev_samp", "median": "median"}
 
 
@@ -39,24 +41,35 @@ def boundary_distance(px: Column, py: Column, sides: Column) -> Column:
     return F.array_min(F.transform(sides, to))
 
 
-def join_polygons(pixels: DataFrame, plots: DataFrame, grid: Grid, margin: float = 0.0, how: str = "inside", bin_m: float | None = None) -> DataFrame:
+def all_sides(plots: DataFrame) -> Column:
+    """The sides of a plot's ring and, where it has such, of its other parts and holes."""
+    if "parts" not in plots.columns:
+        return edges(F.col("ring"))
+    return F.flatten(F.transform(F.concat(F.array("ring"), F.coalesce("parts", F.array().cast(plots.schema["parts"].dataType))), edges))
+
+
+def join_polygons(pixels: DataFrame, plots: DataFrame, grid: Grid, margin: float = 0.0, how: str = "inside", bin_m: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """pixels with the plot_id (and dist, from the boundary) of each plot that holds their centre.
 
-    how: inside; boundary (within margin of the boundary); or all of both. Plots and pixels meet on
-    square bins, an equi-join that Catalyst broadcasts if plots are small; bins are as wide as a large
-    plot, so a plot lies in a few of them.
+    how: inside; boundary (within margin of the boundary); or all of both. keys: columns of both, such as
+    the flight whose plots they are. Plots and pixels meet on square bins, an equi-join that Catalyst
+    broadcasts if plots are small. Bins are as wide as an ordinary plot, and a large one lies in many;
+    they are wider only where plots would lie in more than BINS bins on average.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = plots.select("plot_id", edges(F.col("ring")).alias("sides"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    keys = list(keys)
+    box = plots.select(*keys, "plot_id", all_sides(plots).alias("sides"))
+    xs, ys = F.transform("sides", lambda p: p["x1"]), F.transform("sides", lambda p: p["y1"])
+    box = box.select(*keys, "plot_id", "sides", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     if bin_m is None:
-        r = box.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("w")).first()
-        bin_m = max((r["w"] or 0.0) + 2 * margin, grid.res)
+        wide, high = F.col("x1") - F.col("x0") + 2 * margin, F.col("y1") - F.col("y0") + 2 * margin
+        r = box.agg(F.percentile_approx(F.greatest(wide, high), 0.5).alias("w"), F.avg(wide * high).alias("area")).first()
+        bin_m = max(r["w"] or 0.0, ((r["area"] or 0.0) / BINS) ** 0.5, grid.res)
     bins = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - margin) / bin_m), F.floor((F.col(b) + margin) / bin_m)))
-    dealt = box.withColumn("bx", bins("x0", "x1")).withColumn("by", bins("y0", "y1")).select("plot_id", "sides", "bx", "by")
+    dealt = box.withColumn("bx", bins("x0", "x1")).withColumn("by", bins("y0", "y1")).select(*keys, "plot_id", "sides", "bx", "by")
     cx, cy = grid.centre()
     at = pixels.withColumn("px", cx).withColumn("py", cy)
     at = at.withColumn("bx", F.floor(F.col("px") / bin_m)).withColumn("by", F.floor(F.col("py") / bin_m))
-    met = at.join(dealt, ["bx", "by"])
+    met = at.join(dealt, [*keys, "bx", "by"])
     held, dist = inside(F.col("px"), F.col("py"), F.col("sides")), boundary_distance(F.col("px"), F.col("py"), F.col("sides"))
     if how == "inside" and not margin:
         return met.where(held).drop("bx", "by", "sides")

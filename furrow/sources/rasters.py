@@ -84,6 +84,24 @@ def wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(pair, ", "), F.lit("))"))
 
 
-def write_plots(plots: DataFrame, path: str) -> None:
-    """Plots as CSV with their ring as WKT, replaced."""
-    plots.withColumn("geometry", wkt(F.col("ring"))).drop("ring").write.mode("overwrite").option("header", True).csv(path)
+def geojson(plots: DataFrame) -> DataFrame:
+    """``value``: a GeoJSON feature per plot, its ring (and its holes and parts)
+    as one Polygon, the other columns as properties."""
+    point = lambda p: F.array(p["x"], p["y"])
+    rings = F.array("ring")
+    if "parts" in plots.columns:
+        rings = F.concat(rings, F.coalesce("parts", F.array().cast(plots.schema["parts"].dataType)))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.transform(rings, lambda r: F.transform(r, point)).alias("coordinates"))
+    rest = [c for c in plots.columns if c not in ("ring", "parts")]
+    return plots.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), shape.alias("geometry"))).alias("value"))
+
+
+def write_plots(plots: DataFrame, path: str, form: str = "csv") -> None:
+    """Plots, replaced: CSV with the ring as WKT (``csv``), or a GeoJSON feature a line (``geojson``), which GIS
+    software reads."""
+    if form == "geojson":
+        geojson(plots).write.mode("overwrite").text(path)
+    elif form == "csv":
+        plots.withColumn("geometry", wkt(F.col("ring"))).drop("ring", "parts").write.mode("overwrite").option("header", True).csv(path)
+    else:
+        raise ValueError("form must be geojson or csv")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from furrow.functions.quantiles import exact_quantile
 from furrow.operators import panels, qc, segment, views
 from furrow.operators.components import connected_components, label_cells
+from furrow.operators.outline import outlines
 from furrow.operators.resample import Grid
 from furrow.operators.stencil import LAPLACIAN, focal, sobel
+from furrow.operators.zonal import join_polygons
 from furrow.sources.report import flight_qc_report
 
 NM = [450.0, 550.0, 650.0, 750.0, 850.0]
@@ -82,10 +84,10 @@ def test_patches_are_labelled_by_their_first_cell(spark):
 
 def test_panels_are_found_and_calibrate_to_their_values(spark):
     px, grid = frame(spark, field()), Grid(60, 80, 0.0, 6.0, 0.1)
-    found = panels.detect_panels(px, BANDS, grid, 2, (0.1, 2.0), quantile=0.97).collect()
+    df = panels.detect_panels(px, BANDS, grid, 2, (0.1, 2.0), quantile=0.97).cache()
+    found = df.collect()
     assert [r["panel_id"] for r in found] == ["panel_1", "panel_2"]
     assert sorted(round(r["area_m2"], 2) for r in found) == [0.48, 0.63] and all(0 <= r["confidence"] <= 1 and r["spectral_cv"] < 0.08 for r in found)
-    df = spark.createDataFrame(found)
     known = {r["panel_id"]: 0.6 if r["area_m2"] < 0.5 else 0.3 for r in found}
     out = panels.calibrate_reflectance(px, df, grid, BANDS, known)
     inside = out.where("y between 2 and 7 and x between 2 and 9").agg(F.avg("b2")).first()[0]
@@ -120,9 +122,9 @@ def test_segmentation_refinement_and_quality(spark):
             a[1, y : y + 16, x : x + 24] = 0.65
     px, grid = frame(spark, a), Grid(48, 64, 0.0, 4.8, 0.1)
     for method in ("profile", "gradient", "combined"):
-        got = segment.segment_plots(px, BANDS[:3], grid, method=method, expected_rows=2, expected_cols=2, min_area_m2=0.5, sigma=1).collect()
+        plots = segment.segment_plots(px, BANDS[:3], grid, method=method, expected_rows=2, expected_cols=2, min_area_m2=0.5, sigma=1).cache()
+        got = plots.collect()
         assert got and all(0 <= r["quality"] <= 1 for r in got) and {"plot_id", "row_idx", "col_idx", "area_m2", "ring"} <= set(got[0].asDict())
-    plots = spark.createDataFrame(got)
     moved = segment.refine_plot_boundaries(plots, px, "b1", grid).collect()
     assert all(0 <= r["shift_m"] <= 0.3 for r in moved) and len(moved) == len(got)
     qc_view = views.plot_segmentation_qc(plots, px, BANDS[:3])
@@ -151,6 +153,62 @@ def test_orientation_of_stripes(spark):
     assert across == pytest.approx(92.5) and along == pytest.approx(177.5)
 
 
+def test_flat_cells_only_count_in_the_reference(spark):
+    wide = frame(spark, np.tile((np.arange(40) // 8 % 2)[None, None, :] * 0.5, (1, 40, 1)))
+    assert segment.orientation(wide, [], "b0").first()["orientation_deg"] == pytest.approx(177.5)
+    assert segment.orientation(wide, [], "b0", compat="reference").first()["orientation_deg"] == pytest.approx(92.5)
+
+
+def inside_rings(rings, x, y):
+    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for r in rings for a, b in zip(r, r[1:])) % 2 == 1
+
+
+def test_outlines_hold_their_cells_and_no_others(spark):
+    """With holes, parts that touch at a corner and several rasters."""
+    rng = np.random.default_rng(7)
+    cells = {(f, y, x) for f in (1, 2) for y in range(14) for x in range(14) if rng.random() < 0.62}
+    cells |= {(1, y, x) for y in range(20, 26) for x in range(6) if not (2 <= y - 20 <= 3 and 2 <= x <= 3)}
+    df = spark.createDataFrame(sorted(cells), "flight int, y int, x int")
+    labels = label_cells(df, ["flight"]).cache()
+    by = {(r["flight"], r["y"], r["x"]): r["label"] for r in labels.collect()}
+    got = outlines(labels, Grid(30, 14, 100.0, 50.0, 0.5), ["flight"]).collect()
+    assert {(r["flight"], r["label"]) for r in got} == {(k[0], v) for k, v in by.items()}
+    for r in got:
+        rings = [[(p["x"], p["y"]) for p in ring] for ring in [r["ring"], *r["parts"]]]
+        assert all(ring[0] == ring[-1] and len(ring) >= 5 for ring in rings)
+        for y in range(27):
+            for x in range(14):
+                assert inside_rings(rings, 100 + (x + 0.5) * 0.5, 50 - (y + 0.5) * 0.5) == (by.get((r["flight"], y, x)) == r["label"])
+    frame_ = next(r for r in got if r["label"] == 20 * 2**32)
+    assert len(frame_["ring"]) == 5 and len(frame_["parts"]) == 1
+    sizes = {(r["flight"], r["plot_id"]): r["ring_area_m2"] for r in segment.outlines(spark.createDataFrame([(r["flight"], str(r["label"]), r["ring"], r["parts"]) for r in got], "flight int, plot_id string, ring array<struct<x:double,y:double>>, parts array<array<struct<x:double,y:double>>>")).collect()}
+    for (f, label), area in sizes.items():
+        assert area == pytest.approx(0.25 * sum(k[0] == f and v == int(label) for k, v in by.items()))
+
+
+def test_no_plot_large_enough_is_an_error(spark):
+    px = frame(spark, np.random.default_rng(1).random((1, 12, 12)))
+    with pytest.raises(ValueError, match="no plots"):
+        segment.segment_plots(px, ["b0"], Grid(12, 12, 0.0, 1.2, 0.1), min_area_m2=50.0, sigma=1)
+
+
+def test_a_field_sized_polygon_among_plots(spark):
+    """Bins follow the ordinary plot, so a large one doesn't put all pixels beside all plots."""
+    px = spark.createDataFrame([(y, x) for y in range(60) for x in range(60)], "y int, x int")
+    ring = lambda x, y, w: [(x, y), (x + w, y), (x + w, y - w), (x, y - w), (x, y)]
+    rows = [("all", ring(0.0, 60.0, 60.0))] + [(f"p{k}_{j}", ring(4.0 * k, 60.0 - 4 * j, 3.0)) for k in range(15) for j in range(15)]
+    plots = spark.createDataFrame(rows, "plot_id string, ring array<struct<x:double,y:double>>")
+    got = {r["plot_id"]: r["count"] for r in join_polygons(px, plots, Grid(60, 60, 0.0, 60.0, 1.0)).groupBy("plot_id").count().collect()}
+    assert got.pop("all") == 3600 and len(got) == 225 and set(got.values()) == {9}
+
+
+def test_what_is_printed_of_a_summary(spark):
+    s = spark.createDataFrame([("a", "Accept"), ("b", "Reject"), ("c", "Reject")], "label string, recommendation string")
+    with pytest.warns(UserWarning, match="b, c"):
+        assert qc.describe(s).splitlines() == ["Flights checked: 3", "  Accept: 1", "  Caution: 0", "  Reject: 2", "Rejected: b, c"]
+    assert "Rejected" not in qc.describe(s.where("label = 'a'"))
+
+
 def test_gaussian_smoothing_keeps_the_edges(spark):
     p = spark.createDataFrame([(k, float(k == 10)) for k in range(21)], "at int, mean double")
     got = {r["at"]: r["smooth"] for r in segment.gaussian_smooth(p, [], "at", "mean", 1.0).collect()}

@@ -1,12 +1,13 @@
 """Physical plans: what is read, how often rows move, what is joined how."""
 
 import re
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import fuse, qc, temporal, zonal
+from furrow.operators import fuse, qc, rank, temporal, zonal
 from furrow.operators.plots import PlotGrid
 from furrow.operators.resample import Grid
 from furrow.operators.stack import compute_vi, stack_table
@@ -60,7 +61,24 @@ def test_fusion_meets_in_one_pass(spark, stack):
     vi = spark.createDataFrame([("A", date(2024, 5, 1), 0.5)], "plot_id string, flight_date date, mean double")
     truth = spark.createDataFrame([(1, "A", date(2024, 5, 2), 1.0)], "seq int, plot_id string, date date, yld double")
     text = plan(fuse.fuse_ground(vi, truth))
-    assert "Join" not in text and count(text, "Window") >= 1
+    assert "Join" not in text and count(text, "Window") >= 1 and count(text, "Exchange") <= 2
+    assert "unboundedfollowing" not in text.lower()  # such a frame is read anew for every row
+
+
+def test_fusion_of_many_dates_is_linear(spark):
+    began = time.time()
+    vi = spark.range(20_000).selectExpr("'A' AS plot_id", "date_add(date'1980-01-01', cast(id as int)) AS flight_date", "1.0D AS mean")
+    truth = spark.range(20_000).selectExpr("cast(id as int) AS seq", "'A' AS plot_id", "date_add(date'1980-01-01', cast(id as int)) AS date", "cast(id as double) AS yld")
+    got = fuse.fuse_ground(vi, truth).agg(F.count("*"), F.sum("date_lag_days"), F.sum("yld")).first()
+    assert tuple(got) == (20_000, 0, 199_990_000.0) and time.time() - began < 60
+
+
+def test_windows_of_many_flights_are_not_in_the_plan(spark):
+    flights = [date.fromordinal(date(2024, 1, 1).toordinal() + k) for k in range(60)]
+    px = spark.createDataFrame([(0, x, d, 1.0 + x, 2.0, 3.0, 4.0) for x in range(3) for d in flights], "y int, x int, flight_date date, green double, red double, rededge double, nir double")
+    vi = compute_vi(stack_table(px, BANDS, NM), "NDVI")
+    means = rank.window_means(vi, vi.pixels.withColumn("plot_id", F.lit("A")), "NDVI")
+    assert len(plan(means)) < 100_000 and means.count() == 60 * 59 // 2
 
 
 def test_no_python_on_the_main_paths(stack):

@@ -1,3 +1,4 @@
+import itertools
 import math
 from datetime import date
 
@@ -5,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.functions.stats import correlation_p, incomplete_beta
+from furrow.functions import stats
+from furrow.functions.stats import correlation_p, incomplete_beta, rank_distances, spearman_p
 from furrow.operators import rank, views, zonal
 from furrow.operators.fuse import fuse_ground
 from furrow.operators.plots import PlotGrid, generate_plot_grid, pick_anchor
@@ -94,6 +96,26 @@ def test_p_values():
     assert correlation_p(0.5, 20) == pytest.approx(0.024769, abs=1e-6) and correlation_p(1.0, 5) == 0 and correlation_p(None, 5) is None and correlation_p(0.1, 2) is None
 
 
+def test_p_of_ranks_without_ties():
+    """All orders of few ranks; the series stays close to them and to Student's t."""
+    for n in (4, 6):
+        every = [sum((a - b) ** 2 for a, b in enumerate(p)) for p in itertools.permutations(range(n))]
+        for s in range(0, n * (n * n - 1) // 3 + 1, 2):
+            r = 1 - 6 * s / (n**3 - n)
+            low, high = sum(x <= s for x in every) / len(every), sum(x >= s for x in every) / len(every)
+            assert spearman_p(r, n) == pytest.approx(min(1, 2 * (high if r < 0 else low)))
+    assert sum(rank_distances(9)) == math.factorial(9)
+    exact = [2 * sum(rank_distances(9)[-(-s // 2) :]) / math.factorial(9) for s in (150, 180, 210)]
+    n, stats.EXACT_RANKS = stats.EXACT_RANKS, 8
+    try:
+        series = [2 * stats.rank_tail(s, 9) for s in (150, 180, 210)]
+    finally:
+        stats.EXACT_RANKS = n
+    assert series == pytest.approx(exact, abs=0.01)
+    assert spearman_p(0.3, 60) == pytest.approx(correlation_p(0.3, 60), abs=0.002) and spearman_p(0.1, 2000) == correlation_p(0.1, 2000)
+    assert spearman_p(None, 9) is None and spearman_p(0.5, 2) is None and spearman_p(1.0, 5) == pytest.approx(2 / 120)
+
+
 def test_window_means_equal_direct_integrals(spark):
     rng, n = np.random.default_rng(1), 5
     dates = [date(2024, 1, 1), date(2024, 1, 9), date(2024, 2, 1), date(2024, 2, 20), date(2024, 3, 30)]

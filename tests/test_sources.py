@@ -1,3 +1,4 @@
+import json
 from datetime import date
 
 import numpy as np
@@ -41,6 +42,11 @@ def test_sinks(spark, tmp_path):
     plots = spark.createDataFrame([("P1", [(0.0, 1.0), (2.0, 1.0)])], "plot_id string, ring array<struct<x:double,y:double>>")
     rasters.write_plots(plots, str(tmp_path / "plots"))
     assert spark.read.option("header", True).csv(str(tmp_path / "plots")).first()["geometry"] == "POLYGON ((0.0 1.0, 2.0 1.0))"
+    rasters.write_plots(plots.withColumn("parts", F.array("ring")), str(tmp_path / "json"), "geojson")
+    (feature,) = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "json")).collect()]
+    assert feature == {"type": "Feature", "properties": {"plot_id": "P1"}, "geometry": {"type": "Polygon", "coordinates": [[[0.0, 1.0], [2.0, 1.0]]] * 2}}
+    with pytest.raises(ValueError, match="form"):
+        rasters.write_plots(plots, str(tmp_path / "x"), "shp")
 
 
 def test_quality_of_a_stream(spark, tmp_path):

@@ -88,3 +88,11 @@ def test_more_key_columns_keep_fields_apart(spark, vi):
     both = reduce(lambda a, b: a.union(b), [vi.pixels.select(F.lit(f).alias("field"), "y", "x", "flight", "flight_date", (F.col("NDVI") * f).alias("NDVI")) for f in (1, 2)])
     got = {(r["field"], r["x"]): r["auc"] for r in temporal.integrate_season(VIStack(both, vi.flights, vi.indices, ("field", "y", "x"))).collect()}
     assert got[2, 0] == pytest.approx(2 * got[1, 0])
+
+
+def test_extremes_of_the_rate(spark):
+    rows = [("a", date(2024, 1, 1), 0.1), ("a", date(2024, 1, 1), 0.3), ("b", date(2024, 2, 1), 0.2), ("c", date(2024, 3, 1), -0.5), ("d", date(2024, 4, 1), -0.5), ("e", date(2024, 5, 1), None)]
+    rates = spark.createDataFrame(rows, "interval string, date_from date, ddt double")
+    got = {r["kind"]: (r["interval"], r["rate"]) for r in temporal.rate_extremes(rates).collect()}
+    assert got == {"fastest": ("a", pytest.approx(0.2)), "slowest": ("c", -0.5)}
+    assert temporal.rate_extremes(rates.where("ddt is null")).count() == 0
