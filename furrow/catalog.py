@@ -425,9 +425,9 @@ def _panels(spark, sf_dir, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def calib_sql(expr: str, n: int) -> str:
-    cols = ", ".join(f"round(greatest(0, least(1, {expr.format(b=b)})), 6) + 0.0 AS {b}" for b in BANDS4)
+    cols = ", ".join(f"CASE WHEN {expr.format(b=b)} IS NOT NULL THEN round(greatest(0, least(1, {expr.format(b=b)})), 9) + 0.0 END AS {b}" for b in BANDS4)
     fit = ", ".join(f"avg({b}) AS {b}" for b in BANDS4)
-    coef = ", ".join(f"regr_slope(known, {b}) AS g_{b}, regr_intercept(known, {b}) AS o_{b}, any_value(known / greatest({b}, 1e-9)) AS k_{b}" for b in BANDS4)
+    coef = ", ".join(f"CASE WHEN max({b}) - min({b}) > 1e-9 THEN regr_slope(known, {b}) END AS g_{b}, CASE WHEN max({b}) - min({b}) > 1e-9 THEN regr_intercept(known, {b}) END AS o_{b}, any_value(known / greatest({b}, 1e-9)) AS k_{b}" for b in BANDS4)
     return f"""WITH {PX4_CTE}, p AS (SELECT flight, {PLOT_SQL} AS plot, {fit} FROM px4 WHERE {PLOT_SQL} <= {n} GROUP BY 1, 2),
 c AS (SELECT flight, {coef} FROM (SELECT *, CASE plot WHEN 1 THEN 0.5 ELSE 0.2 END AS known FROM p) GROUP BY 1) SELECT flight, y, x, {cols} FROM px4 JOIN c USING (flight)"""
 
@@ -438,17 +438,17 @@ def _calibrated(spark, sf_dir, known: list[float], **kw) -> DataFrame:
     return panels.apply_coefficients(px, fit, key="flight").select("flight", "y", "x", *BANDS4)
 
 
-@query(calib_sql("{b} * k_{b}", 1), 6)
+@query(calib_sql("{b} * k_{b}", 1))
 def calib_gain_only(spark, sf_dir):
     return _calibrated(spark, sf_dir, [0.5])
 
 
-@query(calib_sql("{b} * g_{b} + o_{b}", 2), 6)
+@query(calib_sql("{b} * g_{b} + o_{b}", 2))
 def calib_empirical_line(spark, sf_dir):
     return _calibrated(spark, sf_dir, [0.5, 0.2])
 
 
-@query(calib_sql("{b} * g_green + o_green", 2), 6)
+@query(calib_sql("{b} * g_green + o_green", 2))
 def calib_global(spark, sf_dir):
     return _calibrated(spark, sf_dir, [0.5, 0.2], per_band=False)
 
@@ -593,7 +593,7 @@ edge AS (SELECT flight, y, x FROM mag JOIN lim USING (flight) WHERE (m - lo) / (
 ce AS (SELECT flight, label, count(*) AS n, avg((x + 0.5) * {FINE.res!r}::DOUBLE) AS ex, -avg((y + 0.5) * {FINE.res!r}::DOUBLE) AS ey FROM near JOIN edge USING (flight, y, x) WHERE dist <= 0.3 GROUP BY ALL),
 d AS (SELECT p.flight, plot_id, x0, y0, ce.n, ex - (cx + 0.5) * {FINE.res!r}::DOUBLE AS dx, ey - (north - 0.5) * {FINE.res!r}::DOUBLE AS dy FROM plot AS p LEFT JOIN ce ON ce.flight = p.flight AND ce.label = p.label),
 m AS (SELECT *, CASE WHEN n >= 4 THEN least(sqrt(dx * dx + dy * dy), 0.3) ELSE 0 END AS moved, CASE WHEN n >= 4 THEN coalesce(least(sqrt(dx * dx + dy * dy), 0.3) / nullif(sqrt(dx * dx + dy * dy), 0), 0) ELSE 0 END AS k FROM d)
-SELECT flight, plot_id, round(x0 * {FINE.res!r}::DOUBLE + coalesce(dx * k, 0), 6) + 0.0 AS west, round(-y0 * {FINE.res!r}::DOUBLE + coalesce(dy * k, 0), 6) + 0.0 AS north, round(round_even(moved, 3), 6) + 0.0 AS shift_m FROM m""", 6)
+SELECT flight, plot_id, round(x0 * {FINE.res!r}::DOUBLE + coalesce(dx * k, 0), 9) + 0.0 AS west, round(-y0 * {FINE.res!r}::DOUBLE + coalesce(dy * k, 0), 9) + 0.0 AS north, round(round_even(moved, 3), 9) + 0.0 AS shift_m FROM m""")
 def refine_plot_boundaries(spark, sf_dir):
     px, found = _segmented(spark, sf_dir)
     moved = segment.refine_plot_boundaries(found, px, "green", FINE, keys=["flight"])

@@ -71,6 +71,8 @@ def detect_panels(pixels: DataFrame, bands: Sequence[str], grid: Grid, n_panels:
     return top.withColumn("panel_id", F.concat(F.lit("panel_"), F.col("k").cast("string"))).select(*keys, *PANEL)
 
 
+#: Panels whose DN differ by no more tell no line.
+SAME_DN = 1e-9
 Coefficients = list[tuple[str, float | None, float | None]]
 
 
@@ -78,13 +80,15 @@ def fit_coefficients(panels: DataFrame, bands: Sequence[str], known: Mapping[str
     """(band, gain, offset) from panels: panel_id and a mean DN per band; with a key, such as the flight, for
     each of its values.
 
-    Two panels or more: least squares; one: the gain alone. per_band=False uses the first band's for all.
+    Two panels or more: least squares, NULL if their DN is the same; one: the gain alone. per_band=False uses
+    the first band's for all.
     """
     known = known if isinstance(known, Mapping) else {f"panel_{k}": v for k, v in enumerate(known, 1)}
     truth = panels.sparkSession.createDataFrame([(k, float(v)) for k, v in known.items()], "panel_id string, known double")
     group = F.col(key) if key else F.lit(None)
     met = panels.withColumn("of", group).join(truth, "panel_id").unpivot(["of", "panel_id", "known"], list(bands), "band", "dn").where("dn is not null")
-    fit = met.groupBy("of", "band").agg(F.countDistinct("panel_id").alias("n"), F.regr_slope("known", "dn").alias("gain"), F.regr_intercept("known", "dn").alias("offset"), F.first(F.col("known") / F.greatest("dn", F.lit(1e-9))).alias("only"))
+    apart = F.max("dn") - F.min("dn") > SAME_DN
+    fit = met.groupBy("of", "band").agg(F.countDistinct("panel_id").alias("n"), F.when(apart, F.regr_slope("known", "dn")).alias("gain"), F.when(apart, F.regr_intercept("known", "dn")).alias("offset"), F.first(F.col("known") / F.greatest("dn", F.lit(1e-9))).alias("only"))
     own: dict[object, dict] = {}
     for r in fit.collect():  # a row per flight and band
         own.setdefault(r["of"], {})[r["band"]] = (r["only"], 0.0) if r["n"] == 1 else (r["gain"], r["offset"])
