@@ -209,9 +209,14 @@ def links(prints: DataFrame, key_prints: int = KEY_PRINTS) -> DataFrame:
     """u, v: pairs of different fingerprints that join all that is linked, for distinct fp in prints."""
     dealt = prints.select("fp", F.explode(F.array(*_keys())).alias("key"))
     none = [F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits")]
-    hot = materialize(dealt.groupBy("key").count().where(F.col("count") > key_prints).select("key"))
     out = dealt.select("key", *none, "fp")
-    if not hot.isEmpty():
+    # A key of so many prints has a segment of so many: 4 * 2^16 counts tell whether keys need be counted.
+    by_segment = prints.select(F.posexplode(F.array(*map(_segment, range(4)))).alias("i", "segment")).groupBy("i", "segment").count()
+    dense = materialize(by_segment.where(F.col("count") > key_prints).select("i", "segment"))
+    if not dense.isEmpty():
+        place = [F.floor(F.shiftright("key", 32) / 6).cast("int").alias("i"), F.shiftright("key", 16).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("segment")]
+        some = dealt.select("key", *place).join(F.broadcast(dense), ["i", "segment"], "left_semi")
+        hot = materialize(some.groupBy("key").count().where(F.col("count") > key_prints).select("key"))
         masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in key_masks()])
         row = F.element_at(masks, F.shiftright("key", 32).cast("int") + 1)
         more = dealt.join(hot, "key").select("key", F.posexplode(row).alias("part", "mask"), "fp")
