@@ -16,9 +16,9 @@ ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Characters of text that a Python worker holds as separate words at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Bytes of text that a Python worker holds as strings at a time.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

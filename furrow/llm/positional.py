@@ -117,7 +117,7 @@ class Shard:
         return at[good], which[good]
 
 
-def shards(texts: list[str | None], chars: int = 8_000_000):
+def shards(texts: list[str | None], chars: int = 4_000_000):
     """(a, b, Shard of texts[a:b]) over texts; a longer text stands alone."""
     for a, b in slices(texts, chars):
         yield a, b, Shard.of(texts[a:b])
