@@ -4,6 +4,7 @@ import glob
 import gzip
 import os
 import random
+import re
 import time
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from furrow.llm import ann, queries, simhash, warc
+from furrow.llm import ann, pii, queries, simhash, warc
 from furrow.operators.components import connected_components
 
 RNG = random.Random(11)
@@ -288,5 +289,47 @@ def test_pipeline_on_odd_rows(spark):
     assert none.count() == 0
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_pipeline_decides_as_brute_force_does(spark):
+    """Deduplication, decontamination and redaction of real rows, copies, a long text and clashing columns."""
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    own = base.orderBy("doc_id").limit(120)
+    long = spark.createDataFrame([(50_001, "quite a long text of many words " * 20_000 + "mail x@y.org", "en", "s", 1), (50_002, own.first()["text"], "en", "s", 1)], base.schema)
+    docs = own.union(long).selectExpr("*", "doc_id AS key_1", "'a' AS fp", "2 AS hit_id", "true AS rejected", "doc_id * 2 AS hash").cache()
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == docs.count()
+
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    prints = {k: brute_print(t) for k, t in rows.items()}
+    ids = sorted(rows)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(components(pairs, ids).values())
+
+    low = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = low(r["text"])
+        windows |= {tuple(w[k : k + min(10, len(w))]) for k in range(len(w) - min(10, len(w)) + 1)} if w else set()
+    sizes = {len(w) for w in windows}
+    hit = {k for k, t in rows.items() for w in [low(t)] if any(tuple(w[j : j + n]) in windows for n in sizes for j in range(len(w) - n + 1))}
+    clean = corpus_pipeline.decontamination(spark, docs, sf)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(rows) - hit and hit
+
+    red = corpus_pipeline.personal_data(spark, docs, sf)
+    assert red.columns == docs.columns
+    for r in red.collect():
+        assert r["n_chars"] == len(r["text"] or "") or r["text"] is None
+        assert not pii.base_spans(r["text"] or "") and r["key_1"] == r["doc_id"] and r["hash"] == 2 * r["doc_id"]
+        if not pii.proposals(rows[r["doc_id"]] or "")[0] and not pii.proposals(rows[r["doc_id"]] or "")[1]:
+            assert r["text"] == rows[r["doc_id"]]
+    language = corpus_pipeline.language_id(spark, docs, sf)
+    assert language.columns == docs.columns and 50_001 in {r["doc_id"] for r in language.collect()}
+    packed = corpus_pipeline.best_fit_packing(spark, red, sf)
+    assert {r["doc_id"] for r in packed.collect()} == set(rows)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
