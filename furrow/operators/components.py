@@ -7,27 +7,46 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
 
+#: Share of all rows that makes a key hot; rows below which none is worth a path of its own.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 1_000_000
+
+
+def meet(rows: DataFrame, few: DataFrame, on: list[str], n: int) -> DataFrame:
+    """rows joined with few, which has one row a key and, as ``size``, at most as many rows as it meets.
+
+    n: rows in all. Keys of more than HOT_SHARE of them, fewer than 1 / HOT_SHARE, are broadcast, so rows
+    of a hot key stay where they are; the others move by key.
+    """
+    if n < HOT_LEAST:
+        return rows.join(few.drop("size"), on)
+    hot = F.col("size") > n * HOT_SHARE
+    top = F.broadcast(few.where(hot).drop("size"))
+    rest = rows.join(top.select(*on), on, "left_anti").join(few.where(~hot).drop("size"), on)
+    return rows.join(top, on).unionByName(rest)
+
 
 def connected_components(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, node, root (the least node reachable) for every node of the undirected edges u, v.
 
     Alternating large-star and small-star steps; each is written to the shared folder, so a lost
-    executor costs one step. The driver only sees the number of links and a hash sum.
+    executor costs one step. The driver only sees the number of links and a hash sum. A node of very many
+    links doesn't gather them in one task.
     """
     by = by or []
     state, edges = None, materialize(edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    n, least = edges.count(), [F.min("v").alias("m"), F.count("*").alias("size")]
     flip = [F.col("v").alias("u"), F.col("m").alias("v")]
     while True:
         both = edges.union(edges.select(*by, "v", "u"))
-        low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
-        large = both.join(low, [*by, "u"]).where("v > u").select(*by, *flip).distinct()
-        low = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*by, "u"]).where("v > m").select(*by, *flip).union(low.select(*by, "u", "m"))
+        low = both.groupBy(*by, "u").agg(*least).select(*by, "u", F.least("u", "m").alias("m"), "size")
+        large = meet(both, low, [*by, "u"], 2 * n).where("v > u").select(*by, *flip).distinct()
+        low = large.groupBy(*by, "u").agg(*least)
+        small = meet(large, low, [*by, "u"], 2 * n).where("v > m").select(*by, *flip).union(low.select(*by, "u", "m"))
         edges = materialize(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     return edges.select(*by, F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(*by, "v", "v").distinct())
 
 

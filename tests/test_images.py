@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions.quantiles import exact_quantile
-from furrow.operators import panels, qc, segment, views
-from furrow.operators.components import connected_components, label_cells
+from furrow.operators import components, panels, qc, segment, views
+from furrow.operators.components import connected_components, label_cells, meet
 from furrow.operators.outline import outlines
 from furrow.operators.resample import Grid
 from furrow.operators.stencil import LAPLACIAN, focal, sobel
@@ -56,10 +56,16 @@ def test_exact_quantiles(spark, values, q):
     assert exact_quantile(df, [], "v", q).first()["q"] == pytest.approx(np.quantile(values, q))
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("hot", [None, 1 / 50])
+def test_components_of_random_graphs(spark, monkeypatch, hot):
+    """Also where the centres of two stars count as hot."""
+    if hot:
+        monkeypatch.setattr(components, "HOT_LEAST", 0)
+        monkeypatch.setattr(components, "HOT_SHARE", hot)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + k, 201 + k) for k in range(40)]
-    root = list(range(300))
+    edges += [(300, k) for k in range(301, 340)] + [(399, k) for k in range(340, 399)]
+    root = list(range(400))
 
     def find(k):
         while root[k] != k:
@@ -74,6 +80,16 @@ def test_components_of_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rows_of_a_hot_key_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_LEAST", 0)
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then 7 else id + 10 end AS u", "id AS v")
+    few = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+    got, want = meet(rows, few, ["u"], 20_000), rows.join(few.drop("size"), "u")
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+    text = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "BroadcastHashJoin [u" in text and "LeftAnti" in text
+
+
 def test_patches_are_labelled_by_their_first_cell(spark):
     cells = [(0, 0), (0, 1), (1, 2), (3, 3), (5, 5), (4, 4), (7, 0), (7, 2), (8, 1)]
     got = {(r["y"], r["x"]): r["label"] for r in label_cells(spark.createDataFrame(cells, "y int, x int"), []).collect()}
