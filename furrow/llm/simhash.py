@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, meet
 from .common import keyed, large, materialize, parts, slices, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -246,12 +246,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null or empty text has fingerprint zero and links like any other. Repeated rows share a
     component; a null doc_id takes part, but names a component only where no other id does (null).
     Fingerprints of more than a thousandth of all rows, less than a thousand, are broadcast with their
-    components, so their rows don't move.
+    components, so their rows don't move; nor do the fingerprints of a component of very many.
     """
     prints = _prints_of(docs)
     named = _roots(prints)
-    least = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    by_print = named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id")
+    least = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("size"))
+    by_print = meet(named.select("fp", "n", "root"), least, ["root"], named.count()).select("fp", "n", "component_id")
     hot_rows = F.col("n") > named.agg(F.sum("n")).first()[0] * HOT_SHARE if not named.isEmpty() else F.lit(False)
     hot = F.broadcast(by_print.where(hot_rows).drop("n"))
     rest = prints.join(hot, "fp", "left_anti").join(by_print.where(~hot_rows).drop("n"), "fp")
