@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences, with swap-based local search.
 
-Pieces are dealt into groups by a hash of their key. Each group is packed best-fit decreasing; then
+Pieces are dealt into groups by a hash of their key and place, so equal ones spread too. Each group is packed best-fit decreasing; then
 the local search takes the underfull bins, least filled first, and lets each give: a piece to a
 fuller bin, a piece for a smaller one, one for two, or two for one. A step is taken only if it raises
 the sum of squared fills, and the search ends when no bin can take one; a bin that has given
@@ -223,7 +223,8 @@ PIECES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 def _round(found: DataFrame, n: int, capacity: int, round_no: int) -> DataFrame:
     groups = -(-max(n, 1) // GROUP_PIECES)
-    dealt = found.select(*PIECES, F.pmod(F.xxhash64(*PIECES), F.lit(groups)).alias("g"))
+    # The place keeps repeated rows of one key out of one group; found is read from files, so it stays.
+    dealt = found.select(*PIECES, F.monotonically_increasing_id().alias("at")).select(*PIECES, F.pmod(F.xxhash64(*PIECES, "at"), F.lit(groups)).alias("g"))
     return dealt.groupBy("g").applyInArrow(_place(capacity, round_no), PLACED_SCHEMA)
 
 

@@ -13,9 +13,11 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from furrow.llm import decontam, langid, licences, packing, pii, tokenfile, wordpiece
+from furrow.llm.common import materialize
 from furrow.llm.positional import Shard, byte_words
 from furrow.llm.tokens import Encoder
 
@@ -118,6 +120,13 @@ def test_packing_keeps_every_piece_and_fills_sequences(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_repeated_pieces_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 250)
+    same = materialize(spark.range(4000).selectExpr("cast(null as long) AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "7L AS ids_crc32"))
+    groups = packing._round(same, 4000, 512, 0).groupBy(F.shiftright("sequence_id", 25).alias("g")).count().collect()
+    assert len(groups) == 16 and sum(r["count"] for r in groups) == 4000 and max(r["count"] for r in groups) < 400
+
+
 def test_local_search_only_moves_and_empties_bins():
     rng = np.random.default_rng(3)
     for low, high in ((1, 100), (34, 60), (20, 50)):
