@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from furrow.llm import ann, pii, queries, simhash, warc
+from furrow.operators import components as components_of
 from furrow.operators.components import connected_components
 
 RNG = random.Random(11)
@@ -116,7 +117,12 @@ def test_representatives(spark):
     assert simhash.representatives(docs.where("false")).count() == 0
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_duplicates(spark, monkeypatch, hot):
+    """Also where a component of more than two fingerprints counts as hot."""
+    if hot:
+        monkeypatch.setattr(components_of, "HOT_SHARE", 2e-6)
+        monkeypatch.setattr(simhash, "meet", lambda rows, few, on, n: components_of.meet(rows, few, on, 1_000_000))
     text = " ".join("".join(RNG.choices("abcdefgh", k=4)) for _ in range(400))
     near = [" ".join(("zz" if k == j else w) for k, w in enumerate(text.split())) for j in (5, 200, 399)]
     rows = [(9, text), (8, text), (7, near[0]), (12, near[1]), (11, near[2]), (3, None), (2, ""), (2, ""), (None, text), (None, "other words entirely here"), (1, "alone in the world of texts")]
