@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, shared_dir, table
+from .common import keyed, parts, shared_dir, table
 from .tokens import encoder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -128,23 +128,24 @@ def _write(tokenizer: str, end_id: int, bits: int):
     def run(batches):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids, ends, parts, n = [], [], [], 0
+        doc_ids, ends, held, n = [], [], [], 0
 
         def closed():
-            raw = write_segment(doc_ids, np.array(ends), np.frombuffer(b"".join(parts), "<u4"), bits)
+            raw = write_segment(doc_ids, np.array(ends), np.frombuffer(b"".join(held), "<u4"), bits)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (len(doc_ids), pa.int64()), (n, pa.int64()), (raw, pa.binary()))], names=["shard", "segment", "shard_start", "n_docs", "n_tokens", "payload"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = enc.encode(text.as_py() or "") + end
-                parts.append(part)
+        for batch in parts(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                part = ids + end
+                held.append(part)
                 n += len(part) // 4
                 doc_ids.append(doc_id)
                 ends.append(n)
                 if n >= SEGMENT_IDS:
                     yield closed()
                     segment, before = segment + 1, before + n
-                    doc_ids, ends, parts, n = [], [], [], 0
+                    doc_ids, ends, held, n = [], [], [], 0
         if doc_ids:
             yield closed()
 

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from furrow.llm import decontam, langid, licences, packing, pii, tokenfile, wordpiece
+from furrow.llm import decontam, langid, licences, packing, pii, tokenfile, tokens, wordpiece
 from furrow.llm.common import materialize
 from furrow.llm.positional import Shard, byte_words
 from furrow.llm.tokens import Encoder
@@ -70,6 +70,28 @@ def test_encoder_equals_the_library(name):
             assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together_equal_the_library(name, monkeypatch):
+    for kept, new, most in ((600_000, 600_000, 100_000), (30, 20, 50)):  # also with caches that overflow
+        for k, v in (("KEPT", kept), ("WAITING", new), ("MERGED_BYTES", most)):
+            monkeypatch.setattr(tokens, k, v)
+        own, t = Encoder(name), Tokenizer.from_file(public_tokenizers.path(name))
+        alphabet = "abehnortß é'sld\n   1,.!*ÿ"
+        texts = ["".join(RNG.choices(alphabet, k=RNG.randint(0, 60))) for _ in range(600)] + [r[1] or "" for r in ROWS]
+        texts += ["", "I'll he's 'tis!'s", "日本 abc", "x<|endoftext|>y", "a" * 1500 + " b" * 9, "é" * 99 + " \n" + "-=" * 700]
+        for _ in range(3):
+            got = own.encode_all(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert own.encode_all([]) == []
+
+
+def test_new_words_are_merged_without_the_library():
+    own = Encoder("byte_bpe_50k.json")
+    own.words.tokenize = None
+    text = "Reaninwh mitstßß onerré\nof 12, " * 2
+    assert np.frombuffer(own.encode_all([text])[0], "<u4").tolist() == ids_of(text, "byte_bpe_50k.json")
+
+
 @pytest.mark.parametrize("bits", [8, 5, 1])
 @pytest.mark.parametrize("n,most", [(0, 1), (1, 5), (1500, 50257), (700, 2**32 - 1)])
 def test_any_token_of_a_segment(bits, n, most):
